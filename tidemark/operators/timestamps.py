@@ -98,9 +98,11 @@ def _to_utc(local: int, tz: str) -> int:
     return local - int(ZoneInfo(tz).utcoffset(at).total_seconds()) * 1_000_000
 
 
-def interpretations(text: str | None, tz: str) -> list[tuple[int, int, bool]]:
+def interpretations(text: str | None, tz: str, stated: int = -1) -> list[tuple[int, int, bool]]:
     """All valid readings of ``text``: (UTC microseconds, field order or -1, unlikely).
 
+    A year of two digits is read in front only where the source doesn't state that it stands behind.
+
     Empty for null, for strings without a full calendar day and for days or times
     that do not exist.
     """
@@ -130,7 +132,7 @@ def interpretations(text: str | None, tz: str) -> list[tuple[int, int, bool]]:
         a, b, c = int(g["a"]), int(g["b"]), int(g["c"])
         y = c if len(g["c"]) == 4 else 2000 + c
         days += [(y, b, a, ORDERS["dmy"], False), (y, a, b, ORDERS["mdy"], False)]
-        if len(g["c"]) == 2:
+        if len(g["c"]) == 2 and stated in (-1, ORDERS["ymd"]):
             days.append((2000 + a, b, c, ORDERS["ymd"], True))
     elif m := _NAMED.fullmatch(s):
         g = m.groupdict()
@@ -206,7 +208,7 @@ def normalise(records: DataFrame, sources: DataFrame, keys: list[str], order_by:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            got = [interpretations(v, tz) for v, tz in zip(p["_v"], p["_tz"], strict=True)]
+            got = [interpretations(*x) for x in zip(p["_v"], p["_tz"], p["_stated"], strict=True)]
             out = p.drop(columns=["_v", "_tz"])
             out["at"], out["ord"], out["rare"] = [[x[0] for x in g] for g in got], [[x[1] for x in g] for g in got], [[int(x[2]) for x in g] for g in got]
             yield out[[bool(g) for g in got]]
