@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 import numpy as np
 
@@ -66,3 +68,25 @@ def prefix_hashes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def line_form(text: str) -> str:
     """``text`` with every line trimmed, inner white space one blank, case folded and digit runs as 0."""
     return DIGITS.sub("0", AROUND_BREAK.sub("\n", SPACE_RUN.sub(" ", text)).strip(" ")).casefold()
+
+
+def char_class(points: list[int]) -> str:
+    """A regular-expression class of sorted code points, as ranges."""
+    out, i = [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        out.append(f"\\U{points[i]:08x}-\\U{points[j]:08x}")
+        i = j + 1
+    return "[" + "".join(out) + "]"
+
+
+_COMPATIBLE = re.compile(char_class([c for c in range(0xA0, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFKC", chr(c))]) + "+")
+_MARK = re.compile("[\u0300-\u036f]")
+
+
+def compatible(s: str) -> str:
+    """NFKC of ``s``, touching only what it changes."""
+    s = _COMPATIBLE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), s)
+    return unicodedata.normalize("NFC", s) if _MARK.search(s) else s
