@@ -32,15 +32,20 @@ from tidemark.session import spread
 EXTREME = 3.0
 #: Share of stuffed characters above which a page is spam.
 HALF = 0.5
+#: Share of the terms of unclosed lines that come again, and their least number, for keywords strung together.
+AGAIN, LEAST_TERMS = 0.6, 8
 #: Kinds of token the divergence looks at.
 KINDS = ("word", "han", "number", "stop", "comma", "link", "tag", "other")
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.ASCII | re.IGNORECASE)
 _TAG = re.compile(r"[#＃][^\s#＃]+")
 _STOP = re.compile(r"[.!?。！？]")
-_ITEM = re.compile(r"\s*[,;·|/、，；•\n!.。！]+\s*|\s+[-–»→:]\s+|\s{2,}|\(\d+\)")
 _SPECIAL = re.compile(r"[^\w\s]")
-_SENTENCE = re.compile(r"[^.!?。！？]*[.!?。！？]+(?=\s|$|[㐀-鿿\"”」])|[^.!?。！？]+$")
+_SENTENCE = re.compile(r"[^!?。！？]*?(?:[!?。！？]|[.](?!\d))")
+_HAN_GAP = re.compile(r"[㐀-鿿]\s+(?=[㐀-鿿])")
+_ENTRY = re.compile(r"\s*\d{1,4}\s*[.)、:：]\s*\S")
+_FIGURES = re.compile(r"\s*(?:\S+\s+){1,8}?(?:[-+−]?\d[\d.,]*\d%?\s*[|;]?\s*){3,}")
+_TERM = re.compile(r"[^\W\d_]+")
 
 
 def mix(text: str) -> tuple[Counter, list[int]]:
@@ -60,13 +65,13 @@ def mix(text: str) -> tuple[Counter, list[int]]:
 def stuffed_share(text: str) -> float:
     """Share of the non-blank characters that are links, tags, or keywords strung together or repeated.
 
-    Lines count as a whole. Lines of links or tags are those with more than half of
-    their characters in such; a bare list entry in front of a link belongs to it.  Of
-    the other lines, words are strung together where few distinct ones make up many
-    and no sentence among them has a wording of its own.
+    A line belongs to links or tags if more than half of its characters do; the words
+    in front of a link go with it.  Lines of sentences, numbered entries and rows of
+    figures are neither.  What is left of the page is taken together: keywords are
+    strung together where terms that come again make up most of it.
     """
     total = stuffed = 0
-    loose: list[tuple[str, int]] = []
+    loose: list[str] = []
     for line in text.split("\n"):
         size = len("".join(line.split()))
         if not size:
@@ -75,25 +80,26 @@ def stuffed_share(text: str) -> float:
         marked = sum(len(m[0]) for m in _LINK.finditer(line)) + sum(len(m[0]) for m in _TAG.finditer(line))
         if marked * 2 > size:
             stuffed += size
-        else:
-            loose.append((line, size))
-    if not total:
-        return 0.0
-    # the wording of a whole page tells strings of keywords that are set one to a line
-    spread_out = Counter(" ".join(WORD.findall(re.sub(r"[0-9]+", "0", x.lower()))) for x, _ in loose)
-    for line, size in loose:
-        if _strung(line) or spread_out[" ".join(WORD.findall(re.sub(r"[0-9]+", "0", line.lower())))] >= 3 and len(WORD.findall(line)) <= 8:
-            stuffed += size
-    return stuffed / total
-
-
-def _strung(line: str) -> bool:
-    """Whether a line is made of few phrases over and over."""
-    words = [w for w in WORD.findall(line.lower()) if not w.isdecimal()]
-    if len(words) < 6:
+        elif not (_ENTRY.match(line) or _FIGURES.fullmatch(line) or _prose(line)):
+            loose.append(line)
+    terms = Counter(t for x in loose for t in _TERM.findall(x.lower()))
+    again = sum(len(t) * n for t, n in terms.items() if n > 1)
+    if sum(terms.values()) >= LEAST_TERMS and again >= AGAIN * sum(len(t) * n for t, n in terms.items()):
+        stuffed += sum(len("".join(x.split())) for x in loose)
+    return stuffed / total if total else 0.0
+
+
+def _prose(line: str) -> bool:
+    """Whether most of a line is sentences: long enough, closed, hardly repeating a word, and not all alike."""
+    inside = 0
+    for m in _SENTENCE.finditer(line):
+        words = WORD.findall(m[0].lower())
+        if len(words) >= 6 and len(set(words)) >= 0.6 * len(words) and len(_HAN_GAP.findall(m[0])) < 2:
+            inside += len(m[0])
+    if inside * 2 <= len(line):
         return False
-    pairs = list(zip(words, words[1:], strict=False))
-    return len(set(words)) / len(words) < 0.5 and len(set(pairs)) / len(pairs) < 0.75
+    words = WORD.findall(line.lower())
+    return len(set(words)) >= min(0.2 * len(words), 60)
 
 
 def page_measures(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFrame:
