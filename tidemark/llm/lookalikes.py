@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.lineage import cut
-from tidemark.llm.text import codes
+from tidemark.llm.text import Without, codes
 from tidemark.session import spread
 
 # Cyrillic and Greek letters that look like the Latin ones below them.
@@ -125,8 +125,7 @@ class Rewriter:
     """Greedy rewriting by an automaton, repeated until nothing matches."""
 
     def __init__(self, table: dict[str, str]) -> None:
-        self.drop = dict.fromkeys(invisible())
-        self.hidden = re.compile("[" + "".join(map(re.escape, map(chr, self.drop))) + "]")
+        self.visible = Without(invisible())
         self.automaton = ahocorasick.Automaton()
         for a, b in table.items():
             self.automaton.add_word(a, (len(a), b))
@@ -136,8 +135,8 @@ class Rewriter:
             self.trigger = re.compile("[" + "".join(sorted({re.escape(a[-1]) for a in table})) + "]")
 
     def __call__(self, s: str) -> str:
-        if not s.isascii() and self.hidden.search(s):
-            s = s.translate(self.drop)
+        if not s.isascii():
+            s = self.visible(s)
         if self.empty:
             return s
         for _ in range(8):

@@ -35,71 +35,71 @@ HALF = 0.5
 #: Share of the terms of unclosed lines that come again, and their least number, for keywords strung together.
 AGAIN, LEAST_TERMS = 0.6, 8
 #: Kinds of token the divergence looks at.
-KINDS = ("word", "han", "number", "stop", "comma", "link", "tag", "other")
+KINDS = ("word", "han", "number", "stop", "comma", "link", "tag")
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.ASCII | re.IGNORECASE)
-_TAG = re.compile(r"[#＃][^\s#＃]+")
-_STOP = re.compile(r"[.!?。！？]")
-_SPECIAL = re.compile(r"[^\w\s]")
-_SENTENCE = re.compile(r"[^!?。！？]*?(?:[!?。！？]|[.](?!\d))")
+_TAG = re.compile(r"#[^\s#]+")
+_SENTENCE = re.compile(r"[^!?。]*?(?:[!?。]|[.](?!\d))")
+_STOPS = ".!?。"
 _HAN_GAP = re.compile(r"[㐀-鿿]\s+(?=[㐀-鿿])")
 _ENTRY = re.compile(r"\s*\d{1,4}\s*[.)、:：]\s*\S")
 _FIGURES = re.compile(r"\s*(?:\S+\s+){1,8}?(?:[-+−]?\d[\d.,]*\d%?\s*[|;]?\s*){3,}")
 _TERM = re.compile(r"[^\W\d_]+")
 
 
-def mix(text: str) -> tuple[Counter, list[int]]:
-    """Token frequencies of a text, and its number of tokens of each kind."""
-    links, tags = len(_LINK.findall(text)), len(_TAG.findall(text))
-    freq = Counter(WORD.findall(text.lower()))
-    n = Counter()
-    for t, k in freq.items():
-        n["han" if "㐀" <= t[0] <= "鿿" else "number" if t.isdecimal() else "word"] += k
-    n["stop"] = len(_STOP.findall(text))
-    n["comma"] = sum(map(text.count, ",，、;；·|"))
-    n["link"], n["tag"] = links * 5, tags * 5
-    n["other"] = len(_SPECIAL.findall(text))
-    return freq, [n[k] for k in KINDS]
-
-
-def stuffed_share(text: str) -> float:
-    """Share of the non-blank characters that are links, tags, or keywords strung together or repeated.
+def read_page(text: str) -> tuple[Counter, list[int], float]:
+    """Token frequencies of a page, its number of tokens of each kind, and its stuffed share.
 
-    A line belongs to links or tags if more than half of its characters do; the words
-    in front of a link go with it.  Lines of sentences, numbered entries and rows of
-    figures are neither.  What is left of the page is taken together: keywords are
-    strung together where terms that come again make up most of it.
+    The stuffed share is that of the non-blank characters that are links, tags, or
+    keywords strung together or repeated.  A line belongs to links or tags if more
+    than half of its characters do; the words in front of a link go with it.  Lines of
+    sentences, numbered entries and rows of figures are neither.  What is left of the
+    page is taken together: keywords are strung together where terms that come again
+    make up most of it.
     """
-    total = stuffed = 0
+    freq: Counter = Counter()
+    total = stuffed = links = tags = 0
     loose: list[str] = []
-    for line in text.split("\n"):
+    for line in text.lower().split("\n"):
         size = len("".join(line.split()))
         if not size:
             continue
         total += size
-        marked = sum(len(m[0]) for m in _LINK.finditer(line)) + sum(len(m[0]) for m in _TAG.finditer(line))
-        if marked * 2 > size:
+        words = WORD.findall(line)
+        freq.update(words)
+        linked = _LINK.findall(line) if "://" in line or "www." in line else ()
+        tagged = _TAG.findall(line) if "#" in line else ()
+        links, tags = links + len(linked), tags + len(tagged)
+        if (sum(map(len, linked)) + sum(map(len, tagged))) * 2 > size:
             stuffed += size
-        elif not (_ENTRY.match(line) or _FIGURES.fullmatch(line) or _prose(line)):
+        elif not (_prose(line, words) or _ENTRY.match(line) or _FIGURES.fullmatch(line)):
             loose.append(line)
-    terms = Counter(t for x in loose for t in _TERM.findall(x.lower()))
+    terms = Counter(t for x in loose for t in _TERM.findall(x))
     again = sum(len(t) * n for t, n in terms.items() if n > 1)
     if sum(terms.values()) >= LEAST_TERMS and again >= AGAIN * sum(len(t) * n for t, n in terms.items()):
         stuffed += sum(len("".join(x.split())) for x in loose)
-    return stuffed / total if total else 0.0
+    n: Counter = Counter()
+    for t, k in freq.items():
+        n["han" if "㐀" <= t[0] <= "鿿" else "number" if t[0].isdecimal() and t.isdecimal() else "word"] += k
+    n["stop"] = sum(map(text.count, ".!?。"))
+    n["comma"] = sum(map(text.count, ",、;·|"))
+    n["link"], n["tag"] = links * 5, tags * 5
+    return freq, [n[k] for k in KINDS], stuffed / total if total else 0.0
 
 
-def _prose(line: str) -> bool:
+def _prose(line: str, words: list[str]) -> bool:
     """Whether most of a line is sentences: long enough, closed, hardly repeating a word, and not all alike."""
+    distinct = len(set(words))
+    if distinct < min(0.2 * len(words), 60):
+        return False
+    if distinct >= (0.35 if "㐀" <= line.lstrip()[0] <= "鿿" else 0.5) * len(words) and line.rstrip()[-1] in _STOPS and len(words) >= 6 * sum(map(line.count, _STOPS)) and not _HAN_GAP.search(line):
+        return True
     inside = 0
     for m in _SENTENCE.finditer(line):
-        words = WORD.findall(m[0].lower())
-        if len(words) >= 6 and len(set(words)) >= 0.6 * len(words) and len(_HAN_GAP.findall(m[0])) < 2:
+        own = WORD.findall(m[0])
+        if len(own) >= 6 and len(set(own)) >= 0.6 * len(own) and len(_HAN_GAP.findall(m[0])) < 2:
             inside += len(m[0])
-    if inside * 2 <= len(line):
-        return False
-    words = WORD.findall(line.lower())
-    return len(set(words)) >= min(0.2 * len(words), 60)
+    return inside * 2 > len(line)
 
 
 def page_measures(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFrame:
@@ -111,11 +111,11 @@ def page_measures(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFr
             out = []
             for i, t, g in zip(p["_id"], p["_t"], p["_g"], strict=True):
                 t = plain(t)
-                freq, kinds = mix(t)
+                freq, kinds, share = read_page(t)
                 spectrum = Counter(freq.values())
                 n = sum(kinds[:3])
                 g = "zh" if kinds[1] * 2 > n else g if g and g not in ("und", "zh") else "en"
-                out.append((i, g, int(np.log2(max(2, n))), [float(k) for k in kinds], sorted(spectrum), [spectrum[f] for f in sorted(spectrum)], stuffed_share(t)))
+                out.append((i, g, int(np.log2(max(2, n))), [float(k) for k in kinds], sorted(spectrum), [spectrum[f] for f in sorted(spectrum)], share))
             yield pd.DataFrame(out, columns=["_id", "lang", "length", "kinds", "f", "n", "share"])
 
     base = pages.select(F.col(row_id).alias("_id"), F.col(text).alias("_t"), F.lower(lang).alias("_g")).where("_t is not null and _id is not null")
