@@ -20,66 +20,71 @@ from pyspark.sql import DataFrame
 
 from tidemark.llm import boilerplate_pages as fixed
 from tidemark.llm.residue import plain
-from tidemark.llm.text import DIGITS, WORD
+from tidemark.llm.text import WORD, line_form
 from tidemark.session import spread
 
 #: Bounds of the tree.
 MAX_DEPTH, MIN_LEAF = 10, 1
+#: Lines longer than this are no lists; words are not counted beyond.
+LISTED = 120
 
 _SEPARATOR = re.compile(r"\s*[|·•»/→☰>]\s*|\s+[-–—]\s+|\t+| {2,}|,\s+|、")
 _LABEL = re.compile(f"(?:{fixed.LABELS})[:：]?")
 _CUE = re.compile(f"(?:{fixed.CUES})")
-_MARKED = re.compile(r"[-*•] |\d{1,2}[.)、] |.*(?:\(\d+ min\)| \d\d-\d\d)$")
+_MARKED = re.compile(r"[-*•] |0[.)、] |.*(?:\(0 min\)| 0-0)$")
 _MENU = re.compile(r"^(?:menu|menü|navigation|导航|菜单)[:：]\s*", re.IGNORECASE)
 _END = re.compile(r"[.。!?！？…][\"”’»)）]?$")
 _CELL = re.compile(r"[-+−]?[\d.,]+ ?[%％]?")
 NAMES = (
-    "words", "chars", "sentence", "cue", "label", "nav", "items", "cells", "marked", "teaser", "before", "after",
-    "prev_sentence", "next_sentence", "prev_words", "next_words", "prev_nav", "next_nav", "digits", "colon",
+    "sentence", "cue", "label", "nav", "teaser", "cells", "marked", "before", "after", "prev_sentence", "next_sentence", "prev_nav", "next_nav",
+    "colon", "items", "words", "prev_words", "next_words", "digits",
 )
 
 
 def _nav_share(entries: list[str]) -> float:
-    return sum(DIGITS.sub("", x).strip().casefold() in fixed.NAV for x in entries) / max(1, len(entries))
+    return sum(x.rstrip(" 0") in fixed.NAV for x in entries) / max(1, len(entries))
 
 
-def blocks(page: str) -> tuple[list[int], np.ndarray]:
-    """Line numbers (from 1) of the non-blank lines of ``page``, and their features in the order of ``NAMES``."""
+def blocks(page: str) -> tuple[list[int], list[tuple]]:
+    """Line numbers (from 1) of the non-blank lines of ``page``, and their features in the order of ``NAMES``.
+
+    Words are counted in three classes: up to 3, up to 7, and more.
+    """
     numbers, own = [], []
-    teaser = 0.0
-    for no, raw in enumerate(page.split("\n"), 1):
-        if not raw or raw.isspace():
+    teaser = 0
+    for no, s in enumerate(line_form(plain(page)).split("\n"), 1):
+        if not s:
             continue
-        s = plain(raw).strip()
-        form = DIGITS.sub("0", " ".join(s.split())).casefold()
-        words = len(WORD.findall(form))
-        cue = bool(_CUE.match(form))
-        label = bool(_LABEL.fullmatch(form))
-        items = [x.strip("[]+()") for x in _SEPARATOR.split(s) if x.strip("[]+() ")]
-        listed = _MENU.sub("", s)
-        entries = max(items, _SEPARATOR.split(listed), listed.split(), key=_nav_share)
-        nav = _nav_share(entries)
-        cells = sum(bool(_CELL.fullmatch(x)) for x in items[1:]) / max(1, len(items) - 1) if len(items) > 2 else 0.0
-        sentence = bool(_END.search(s)) and words >= 4 and not cue
+        size = len(s)
+        n = len(WORD.findall(s)) if size <= LISTED else LISTED
+        cue = _CUE.match(s) is not None
+        label = size <= 60 and _LABEL.fullmatch(s) is not None
+        sentence = n >= 4 and not cue and _END.search(s, max(0, size - 3)) is not None
+        nav, n_items, cells = 0.0, 1, 0.0
+        if size <= LISTED and not (sentence and n >= 8):
+            listed = _MENU.sub("", s) if ":" in s else s
+            items = [x for x in (x.strip("[]+() ") for x in _SEPARATOR.split(listed)) if x]
+            n_items = len(items)
+            nav = _nav_share(items) if n_items > 1 else max(_nav_share(items), _nav_share(listed.split()))
+            cells = sum(_CELL.fullmatch(x) is not None for x in items[1:]) / (n_items - 1) if n_items > 2 else 0.0
         if label:
-            teaser = 1.0
+            teaser = 1
         elif sentence or cue or nav > 0.5:
-            teaser = 0.0
+            teaser = 0
         numbers.append(no)
-        digits = sum(map(str.isdigit, s)) / max(1, len(s))
-        own.append((words, len(s), sentence, cue, label, nav, len(items), cells, bool(_MARKED.match(s)), teaser, digits, ":" in s or "：" in s))
-    if not own:
-        return [], np.zeros((0, len(NAMES)))
-    x = np.array(own, dtype=float)
-    n = len(x)
-    sent = x[:, 2]
-    before = np.minimum(1, np.concatenate([[0], np.cumsum(sent)[:-1]]))
-    after = np.minimum(1, np.cumsum(sent[::-1])[::-1] - sent)
-    prev, nxt = np.full((n, 3), -1.0), np.full((n, 3), -1.0)
-    near = x[:, [2, 0, 5]]
-    prev[1:], nxt[:-1] = near[:-1], near[1:]
-    f = np.column_stack([x[:, :10], before, after, prev[:, 0], nxt[:, 0], prev[:, 1], nxt[:, 1], prev[:, 2], nxt[:, 2], x[:, 10:]])
-    return numbers, f
+        own.append((sentence, cue, label, nav, teaser, cells, _MARKED.match(s) is not None, ":" in s, min(n_items, 4), 0 if n <= 3 else 1 if n <= 7 else 2, "0" in s))
+    out = []
+    at = [i for i, x in enumerate(own) if x[0]]
+    first, last = (at[0], at[-1]) if at else (len(own), -1)
+    edge = (-1, 0, 0, -1, 0, 0, 0, 0, 0, -1)
+    for i, x in enumerate(own):
+        p, q = own[i - 1] if i else edge, own[i + 1] if i + 1 < len(own) else edge
+        out.append((*x[:7], i > first, i < last, p[0], q[0], p[3], q[3], x[7], x[8], x[9], p[9], q[9], x[10]))
+    return numbers, out
+
+
+def matrix(rows: list[tuple]) -> np.ndarray:
+    return np.array(rows, dtype=float).reshape(-1, len(NAMES))
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 0) -> tuple | float:
@@ -126,9 +131,9 @@ def trained() -> tuple | float:
     xs, ys = [], []
     for page in fixed.PAGES.strip().split("\n\n"):
         lines = page.split("\n")
-        xs.append(blocks("\n".join(x[2:] for x in lines))[1])
+        xs += blocks("\n".join(x[2:] for x in lines))[1]
         ys.append([x[0] == "+" for x in lines])
-    return grow(np.concatenate(xs), np.concatenate(ys).astype(float))
+    return grow(matrix(xs), np.concatenate(ys).astype(float))
 
 
 def furniture(pages: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -146,9 +151,9 @@ def furniture(pages: DataFrame, row_id: str, text: str) -> DataFrame:
                 n, f = blocks(t)
                 ids += [i] * len(n)
                 lines += n
-                feats.append(f)
+                feats += f
             if lines:
-                off = score(tree, np.concatenate(feats)) < 0.5
+                off = score(tree, matrix(feats)) < 0.5
                 yield pd.DataFrame({row_id: np.array(ids)[off], "line_no": np.array(lines, dtype=np.int64)[off]})
 
     kind = dict(pages.dtypes)[row_id]
@@ -166,7 +171,7 @@ def main_body(pages: DataFrame, row_id: str, text: str) -> DataFrame:
                 if t is not None:
                     n, f = blocks(t)
                     lines = t.split("\n")
-                    t = "\n".join(lines[k - 1] for k, ok in zip(n, score(tree, f) >= 0.5, strict=True) if ok)
+                    t = "\n".join(lines[k - 1] for k, ok in zip(n, score(tree, matrix(f)) >= 0.5, strict=True) if ok)
                 out.append(t)
             yield pd.DataFrame({row_id: p[row_id], text: out})
 

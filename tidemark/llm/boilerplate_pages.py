@@ -272,4 +272,13 @@ PAGES = """
 - Bisher 12 Leser haben diesen Artikel bewertet
 + Hintergrund Kathodenmaterial
 - Jetzt teilen und Tarner Blatt folgen
+
+- Menu: Sign in, Help, Home, Data
++ Two suppliers confirmed that orders placed before May 3 would ship a week late.
+
+- 导航：汽车 - 登录 - 公告 - 新股
++ 公司与青原重工签订供货协议，2026年前供应海底电缆合计9.5亿元。
+
+- Menü: Hilfe | Märkte | Depot | Suche
++ Ein Ofen fiel aus, die Produktion sank 8 Tage lang um 19 Prozent.
 """
