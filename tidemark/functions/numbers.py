@@ -73,3 +73,10 @@ def finite(x: Column | str) -> Column:
     """0 for null, NaN and infinities."""
     v = c(x).cast("double")
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over rows with both values; null where one side has no spread."""
+    both = c(a).isNotNull() & c(b).isNotNull()
+    x, y = F.when(both, c(a).cast("double")), F.when(both, c(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x) * F.var_pop(y)))

@@ -55,7 +55,7 @@ def information_coefficients(df: DataFrame, keys: list[str], actual: str = "actu
     rank = lambda x: F.rank().over(W.partitionBy(*keys).orderBy(x)) + (F.count("*").over(W.partitionBy(*keys, x)) - 1) / 2
     r = df.withColumn("_ra", rank(actual)).withColumn("_rp", rank(pred))
     z = lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0))
-    out = r.groupBy(*keys).agg(z(F.corr(actual, pred)).alias("ic"), z(F.corr("_ra", "_rp")).alias("rank_ic"), F.stddev_pop(F.col(pred) - F.col(actual)).alias("_s"))
+    out = r.groupBy(*keys).agg(z(N.correlation(actual, pred)).alias("ic"), z(N.correlation("_ra", "_rp")).alias("rank_ic"), F.stddev_pop(F.col(pred) - F.col(actual)).alias("_s"))
     return out.withColumn("icir", N.safe_divide("ic", "_s")).drop("_s")
 
 

@@ -238,5 +238,5 @@ def flagship(spark, d):
     days = m.select("level", F.explode(F.sequence("release", F.least(F.date_sub("until", 1), F.date_add("release", 20000)))).alias("date"))
     level = R.bars(spark, d).select("symbol", "date").join(days, "date", "left").groupBy("symbol").agg(F.round(F.avg(F.coalesce("level", F.lit(0.0))), 4).alias("level"))
     ok = ((F.col("prob") >= 0.5) == (F.col("actual") > 0)).cast("int")
-    p = R.preds(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.round(E.regression()["mae"], 6).alias("mae"), (F.round(F.coalesce(F.nanvl(F.corr("actual", "pred"), F.lit(0.0)), F.lit(0.0)), 6) + F.lit(0.0)).alias("ic"), F.round(F.avg(ok), 6).alias("accuracy"))
+    p = R.preds(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), F.round(E.regression()["mae"], 6).alias("mae"), (F.round(F.coalesce(N.correlation("actual", "pred"), F.lit(0.0)), 6) + F.lit(0.0)).alias("ic"), F.round(F.avg(ok), 6).alias("accuracy"))
     return p.join(level, "symbol").select("symbol", "n", "mae", "ic", "accuracy", "level")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from tidemark.functions import numbers as N
 from tidemark.functions import text as T
 from tidemark.operators import dedup as DD
 from tidemark.operators import relational as REL
@@ -257,7 +258,7 @@ def agg15_nested_contributions(spark, d):
 @register("agg16_feature_contribution", "SELECT 'volume' AS feature, round(abs(corr(volume, pct_change)), 6) AS c FROM stock UNION ALL SELECT 'amount', round(abs(corr(amount, pct_change)), 6) FROM stock UNION ALL SELECT 'turnover_rate', round(abs(corr(turnover_rate, pct_change)), 6) FROM stock")
 def agg16_feature_contribution(spark, d):
     m = REL.melt(load(spark, d, "stock").select("pct_change", "volume", "amount", "turnover_rate"), ["pct_change"], ["volume", "amount", "turnover_rate"])
-    return m.groupBy(F.col("name").alias("feature")).agg(F.round(F.abs(F.corr("value", "pct_change")), 6).alias("c"))
+    return m.groupBy(F.col("name").alias("feature")).agg(F.round(F.abs(N.correlation("value", "pct_change")), 6).alias("c"))
 
 
 @register("agg17_duplicate_audit", "SELECT symbol, count(*) AS n, count(*) - count(DISTINCT date) AS dup, min(date) AS d0, max(date) AS d1 FROM stock GROUP BY symbol")
