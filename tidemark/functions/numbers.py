@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.functions.text import c
+from tidemark.functions.text import c, let
 
 
 def clip(x: Column | str, low: float, high: float) -> Column:
@@ -45,8 +45,10 @@ def masked_mean(values: Column | str, mask: Column | str) -> Column:
 
 
 def softmax(x: Column | str) -> Column:
-    e = F.transform(c(x), lambda v: F.exp(v.cast("double") - F.array_max(c(x)).cast("double")))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, w: s + w))
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda s, w: s + w), lambda t: F.transform(e, lambda v: v / t))
+
+    return let(let(F.array_max(c(x)).cast("double"), lambda top: F.transform(c(x), lambda v: F.exp(v.cast("double") - top))), shares)
 
 
 def arg_top(x: Column | str, k: int) -> Column:

@@ -13,6 +13,11 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """``f`` of the value of ``x``, which is evaluated once however often ``f`` uses it, also inside lambdas."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def blob(*parts: Column | str) -> Column:
     """Parts trimmed, joined by one blank, inner white space reduced; null counts as empty."""
     return F.trim(F.regexp_replace(F.concat_ws(" ", *(F.trim(F.coalesce(c(p), F.lit(""))) for p in parts)), r"\s+", " "))
@@ -75,13 +80,31 @@ def unique_terms(terms: list[object]) -> list[str]:
 
 def shingles(x: Column | str, n: int = 3, most: int = 600) -> Column:
     """Distinct runs of n characters of the letters and digits; a shorter text is its own shingle."""
-    s = F.substring(F.regexp_replace(F.lower(c(x)), r"[^\p{L}\p{N}_]+", ""), 1, most)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n))))
-    return F.when(F.length(s) >= n, grams).when(F.length(s) > 0, F.array(s)).otherwise(F.array().cast("array<string>"))
+    def grams(s: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))
+        return F.when(F.length(s) >= n, F.array_distinct(own)).when(F.length(s) > 0, F.array(s)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.substring(F.regexp_replace(F.lower(c(x)), r"[^\p{L}\p{N}_]+", ""), 1, most), grams)
+
+
+def word_shingles(x: Column | str, n: int = 5) -> Column:
+    """Distinct hashes of the runs of n words of a whole text; a Han character counts as a word, a shorter text as one run."""
+    words = F.regexp_extract_all(F.lower(c(x)), F.lit(r"(\p{IsHan}|[\p{L}\p{N}&&[^\p{IsHan}]]+)"), F.lit(1))
+
+    def grams(w: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n))))
+
+    return F.when(F.length(F.trim(c(x))) > 0, let(words, grams)).otherwise(F.array().cast("array<bigint>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+    """Shared over all distinct members of two sets; 0 for two empty ones."""
+
+    def of(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["a"], p["b"]))
+        return both / F.greatest(F.size(p["a"]) + F.size(p["b"]) - both, F.lit(1))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), of)
 
 
 def lexicon_hits(x: Column | str, words: list[str], phrases: list[str]) -> Column:

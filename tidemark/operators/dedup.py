@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions.text import word_shingles
 from tidemark.lineage import cut
 
 
@@ -36,14 +37,16 @@ def greedy_near_duplicates(df: DataFrame, row_id: str, fingerprint: str, day: st
     """Ids of the rows kept when, best rank first, a row is dropped if a kept row of its fingerprint lies within the window.
 
     ``rank`` lists (column, descending). Rows whose fingerprint is shorter than
-    ``least`` all stay. Only (rank, day, id) of fingerprints that occur twice or more
-    are folded, one fold per fingerprint over the days kept so far.
+    ``least`` all stay. Of the rows of one fingerprint and day only the best ranked can
+    be kept, as all lie equally far from any other; the fold of a fingerprint thus
+    never holds more entries than the calendar has days.
     """
     short = (F.length(fingerprint) < least) | F.col(fingerprint).isNull() | F.col(day).isNull()
     stay = df.where(short).select(row_id)
     keys = [(-F.unix_date(x) if dict(df.dtypes)[x] == "date" else -F.col(x)) if desc else F.col(x) for x, desc in rank]
     entry = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys)), F.col(row_id).alias("id"), F.unix_date(day).alias("d"))
-    groups = df.where(~short).groupBy(fingerprint).agg(F.sort_array(F.collect_list(entry)).alias("_s"))
+    best = df.where(~short).groupBy(fingerprint, day).agg(F.min(entry).alias("_e"))
+    groups = best.groupBy(fingerprint).agg(F.sort_array(F.collect_list("_e")).alias("_s"))
     kind = dict(df.dtypes)[row_id]
     fold = F.aggregate(
         "_s",
@@ -62,7 +65,7 @@ def similar_pairs(df: DataFrame, row_id: str, shingles: str, day: str, window_da
     """
     sets = cut(df.select(F.col(row_id).alias("id"), F.col(shingles).alias("s"), F.unix_date(day).alias("d")).where((F.size("s") >= 8) & F.col("d").isNotNull()))
     rarity = sets.select(F.explode("s").alias("g")).groupBy("g").agg(F.count("*").alias("n"))
-    ranked = sets.select("id", "d", F.explode("s").alias("g")).join(rarity, "g").groupBy("id", "d").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("g").alias("h")))).alias("x"))
+    ranked = sets.select("id", "d", F.explode("s").alias("g")).join(rarity, "g").groupBy("id", "d").agg(F.sort_array(F.collect_list(F.struct("n", (F.col("g") if dict(sets.dtypes)["s"] == "array<bigint>" else F.xxhash64("g")).alias("h")))).alias("x"))
     ranked = cut(ranked.select("id", "d", F.transform("x", lambda v: v["h"]).alias("h")))
     size = F.size("h")
     prefix = ranked.select("id", "d", size.alias("n"), F.explode(F.slice("h", F.lit(1), size - F.ceil(size * threshold).cast("int") + 1)).alias("g"), (F.floor(F.col("d") / (window_days + 1))).alias("b"))
@@ -74,3 +77,43 @@ def similar_pairs(df: DataFrame, row_id: str, shingles: str, day: str, window_da
     both = F.size(F.array_intersect("ha", "hb"))
     sim = both / (F.size("ha") + F.size("hb") - both)
     return cand.join(x, "a").join(y, "b_").withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", F.col("b_").alias("b"), "similarity")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, class): the smallest id reachable over ``edges`` (a, b), for every id that has one.
+
+    Labels travel along edges and are shortened by following them to their own label,
+    so a chain of n links takes about log n rounds; each round is cut.
+    """
+    both = cut(edges.select(F.col("a").alias("id"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("id"), F.col("a").alias("to"))).distinct())
+    labels = cut(both.groupBy("id").agg(F.least(F.min("to"), F.first("id")).alias("class")))
+    while True:
+        near = both.join(labels.select(F.col("id").alias("to"), "class"), "to").groupBy("id").agg(F.min("class").alias("_n"))
+        step = labels.join(near, "id").select("id", F.least("class", "_n").alias("class"))
+        hop = step.join(labels.select(F.col("id").alias("class"), F.col("class").alias("_h")), "class", "left")
+        new = cut(hop.select("id", F.least("class", F.coalesce("_h", "class")).alias("class")))
+        if new.join(labels.withColumnRenamed("class", "_o"), "id").where("class <> _o").isEmpty():
+            return new
+        labels = new
+
+
+def near_duplicates(df: DataFrame, row_id: str, text: str, day: str, window_days: int = 14, threshold: float = 0.8) -> DataFrame:
+    """(``row_id``, class, links): near-duplicate classes of whole texts close in time.
+
+    Texts are compared by their runs of five words. Equal texts of one day are one class
+    from the start and are compared once; a row's links are the other texts its own
+    is similar to within the window. Rows without text or day, and texts of fewer than
+    eight runs, are classes of their own; a class is named by its smallest id.
+    """
+    kind = dict(df.dtypes)[row_id]
+    base = df.select(F.col(row_id).alias("id"), F.col(text).alias("t"), F.col(day).cast("date").alias("d"))
+    whole = F.col("t").isNotNull() & F.col("d").isNotNull()
+    base = cut(base.select("id", "d", F.when(whole, F.sha2("t", 256)).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))).alias("h"), "t"))
+    reps = base.groupBy("h", "d").agg(F.min("id").alias("rep"))
+    some = base.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").where("t is not null and d is not null")
+    pairs = cut(similar_pairs(some.withColumn("s", word_shingles("t")), "id", "s", "d", window_days, threshold))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    named = components(pairs).withColumnRenamed("id", "rep")
+    own = base.select("id", "h", "d").join(reps.select("h", F.col("d").alias("_d"), "rep"), "h").where("d <=> _d")
+    out = own.join(named, "rep", "left").join(links, "rep", "left")
+    return out.select(F.col("id").alias(row_id), F.coalesce("class", "rep").cast(kind).alias("class"), F.coalesce("links", F.lit(0)).alias("links"))

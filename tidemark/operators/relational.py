@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import NumericType, StructType
 
 
@@ -33,15 +34,44 @@ def safe_name(name: str) -> str:
     return "_".join("".join(x if x.isalnum() else " " for x in name.lower()).split())
 
 
+def exact_quantiles(df: DataFrame, column: str, qs: list[float], accuracy: int = 100_000) -> list[float] | None:
+    """Linear-interpolated quantiles of a whole column; None for a column without values.
+
+    A mergeable sketch brackets each quantile; the values of the brackets alone, about
+    2 / ``accuracy`` of the rows per quantile, are counted and accumulated, and the
+    ranks in question read off. No task ever sees all values.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    at = sorted({min(max(p, 0.0), 1.0) for q in qs for p in (q - 2 / accuracy, q + 2 / accuracy)})
+    first = x.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile_approx("x", at, accuracy).alias("a")).first()
+    n = first["n"]
+    if not n:
+        return None
+    bound = dict(zip(at, first["a"], strict=True))
+    spans = [(bound[min(max(q - 2 / accuracy, 0.0), 1.0)], bound[min(max(q + 2 / accuracy, 0.0), 1.0)]) for q in qs]
+    spans = [(first["lo"] if q * n < 4 else a, first["hi"] if (1 - q) * n < 4 else b) for q, (a, b) in zip(qs, spans, strict=True)]
+    below = x.agg(*(F.count_if(F.col("x") < a).alias(f"b{i}") for i, (a, _) in enumerate(spans))).first()
+    out = []
+    for i, (q, (a, b)) in enumerate(zip(qs, spans, strict=True)):
+        inside = x.where((F.col("x") >= a) & (F.col("x") <= b)).groupBy("x").count()
+        ranked = inside.withColumn("upto", F.sum("count").over(W.orderBy("x")) + below[f"b{i}"])
+        pos = q * (n - 1)
+        need = (int(pos), min(int(pos) + 1, n - 1))
+        r = ranked.agg(*(F.min(F.when(F.col("upto") > k, F.col("x"))).alias(f"k{j}") for j, k in enumerate(need))).first()
+        lo, hi = r["k0"], r["k1"] if r["k1"] is not None else x.where(F.col("x") > b).agg(F.min("x")).first()[0]
+        out.append(lo + (hi - lo) * (pos - int(pos)))
+    return out
+
+
 def winsorise(df: DataFrame, columns: list[str], low: float, high: float, least: int = 20) -> DataFrame:
     """Columns clipped to their exact quantiles over the whole table, where it has at least ``least`` values."""
     if not 0 < low < high < 1:
         return df
-    q = df.agg(*(F.struct(F.count(x).alias("n"), F.percentile(x, [low, high]).alias("q")).alias(f"_{x}") for x in columns)).first()
+    counts = df.agg(*(F.count(x).alias(x) for x in columns)).first()
     for x in columns:
-        got = q[f"_{x}"]
-        if got["n"] >= least:
-            df = df.withColumn(x, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.lit(got["q"][0])), F.lit(got["q"][1]))))
+        if counts[x] >= least:
+            a, b = exact_quantiles(df, x, [low, high])
+            df = df.withColumn(x, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), F.lit(a)), F.lit(b))))
     return df
 
 

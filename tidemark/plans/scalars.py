@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import dates as D
 from tidemark.functions import numbers as N
 from tidemark.functions import text as T
+from tidemark.operators.dedup import top_per_group
 from tidemark.plans.registry import define, register
-from tidemark.session import load
+from tidemark.session import load, spread
 
 POSITIVE, NEGATIVE = ["rose", "gained", "higher", "approved"], ["fell", "lost", "slid", "delayed"]
 POSITIVE_CN, NEGATIVE_CN = ["上涨", "增长", "净买入"], ["下跌", "下降", "净卖出"]
@@ -23,7 +24,8 @@ def _scalar(name: str, table: str, key: str, cols: dict) -> None:
     """One query of ``key`` and expressions, given as (Spark column, SQL) pairs."""
 
     def run(spark, d, table=table, key=key, cols=cols):
-        return load(spark, d, table).select(key, *(x[0]().alias(n) for n, x in cols.items()))
+        rows = load(spark, d, table)
+        return (spread(rows) if table == "documents" else rows).select(key, *(x[0]().alias(n) for n, x in cols.items()))
 
     define(name, run, f"SELECT {key}, " + ", ".join(f"{x[1]} AS {n}" for n, x in cols.items()) + f" FROM {table}")
 
@@ -122,10 +124,10 @@ _scalar("flt10_official_source", "documents", "doc_id", {"hit": (lambda: F.lower
 _scalar("flt11_needs_enrichment", "news", "news_id", {"hit": (lambda: F.coalesce(F.length("content"), F.lit(0)) < 400, "coalesce(length(content), 0) < 400")})
 
 
-@register("str24_join_budget", "SELECT source, (SELECT list_reduce(list_prepend('', list(title ORDER BY doc_id)), lambda a, t: CASE WHEN length(a) + length(t) + 1 <= 400 THEN a || ' ' || t ELSE a END)) AS joined FROM documents WHERE title IS NOT NULL GROUP BY source")
+@register("str24_join_budget", "SELECT source, (SELECT list_reduce(list_prepend('', list(title ORDER BY doc_id)), lambda a, t: CASE WHEN length(a) + length(t) + 1 <= 400 THEN a || ' ' || t ELSE a END)) AS joined FROM (SELECT source, doc_id, title FROM documents WHERE title IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50) GROUP BY source")
 def str24_join_budget(spark, d):
-    """Titles of a source in order, as many as fit 400 characters."""
-    t = load(spark, d, "documents").where("title is not null").select("source", "doc_id", "title")
+    """Of the first 50 titles of a source those that fit into 400 characters, in order: a report per source."""
+    t = top_per_group(load(spark, d, "documents").where("title is not null").select("source", "doc_id", "title"), ["source"], ["doc_id"], 50)
     a = t.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("doc_id", "title"))).alias("a"))
     return a.select("source", F.aggregate("a", F.lit(""), lambda s, x: F.when(F.length(s) + F.length(x["title"]) + 1 <= 400, F.concat(s, F.lit(" "), x["title"])).otherwise(s)).alias("joined"))
 

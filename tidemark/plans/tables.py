@@ -17,7 +17,7 @@ from tidemark.operators import relational as REL
 from tidemark.plans import registry as R
 from tidemark.plans.registry import register
 from tidemark.plans.scalars import _BLOB, _FP, _KEY, CLASS_RULES, NEGATIVE, POSITIVE
-from tidemark.session import load
+from tidemark.session import load, spread
 
 _HIT = lambda ts: "coalesce(regexp_matches(lower(text), '" + "|".join(ts) + "'), false)::DOUBLE"
 
@@ -81,10 +81,11 @@ def prj15_masked(spark, d):
     return REL.mask(load(spark, d, "stock").select("stock_id", "close", "volume", "amount"), ["volume", "amount"])
 
 
-@register("prj16_array_without_type", "SELECT date, count(*) FILTER (text_type <> 'notice') AS n FROM documents WHERE date IS NOT NULL GROUP BY date")
+@register("prj16_array_without_type", "SELECT date, count(*) FILTER (text_type <> 'notice') AS n FROM (SELECT date, text_type FROM documents WHERE date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY date ORDER BY doc_id) <= 64) GROUP BY date")
 def prj16_array_without_type(spark, d):
-    """Events of a day as an array, without those of one type."""
-    a = load(spark, d, "documents").where("date is not null").groupBy("date").agg(F.collect_list(F.struct("doc_id", "text_type")).alias("events"))
+    """The event array of a day, of at most 64 events, without those of one type."""
+    top = DD.top_per_group(load(spark, d, "documents").where("date is not null").select("date", "doc_id", "text_type"), ["date"], ["doc_id"], 64)
+    a = top.groupBy("date").agg(F.collect_list(F.struct("doc_id", "text_type")).alias("events"))
     return a.select("date", F.size(F.filter("events", lambda e: e["text_type"] != "notice")).cast("bigint").alias("n"))
 
 
@@ -111,7 +112,8 @@ _QUALITY_SQL = f"SELECT doc_id, date, title, source, url, text_type, length({_BL
 def _scored(spark, d):
     blob = T.blob("title", "text", "text_type")
     score = T.additive_score((4, T.contains_any("text", ["储能", "storage"])), (1.5, T.contains_any("text", POSITIVE)), (-1, T.contains_any("text", NEGATIVE)), (0.75, F.least(F.length("text") / 240.0, F.lit(1.0))))
-    return load(spark, d, "documents").select("doc_id", "date", "title", "source", "url", "text_type", F.length(blob).alias("chars"), score.alias("score"), (F.col("doc_id") * 37 % 101 / 100.0).alias("quality"))
+    docs = spread(load(spark, d, "documents").select("doc_id", "date", "title", "text", "source", "url", "text_type"))
+    return docs.select("doc_id", "date", "title", "source", "url", "text_type", F.length(blob).alias("chars"), score.alias("score"), (F.col("doc_id") * 37 % 101 / 100.0).alias("quality"))
 
 
 @register("flt04_quality_filter", f"SELECT doc_id, round(score, 6) AS score FROM ({_QUALITY_SQL}) WHERE chars >= 120 AND score >= 3 AND quality >= 0.25 AND NOT (source LIKE 'crawl%' AND score < 5)")
@@ -288,11 +290,10 @@ def ddp03_fingerprint_greedy(spark, d):
     return DD.greedy_near_duplicates(docs, "doc_id", "fp", "date", [("chars", True)], 7)
 
 
-@register("ddp04_similar_pairs")
-def ddp04_similar_pairs(spark, d):
-    """Pairs of titles close in time and alike; news texts of one form are compared by their representative."""
-    docs = DD.keep_least(load(spark, d, "documents").where("title is not null and date is not null").select("doc_id", "title", "date"), ["title", "date"], "doc_id")
-    return DD.similar_pairs(docs.withColumn("s", T.shingles("title")), "doc_id", "s", "date", 14, 0.86)
+@register("ddp04_near_duplicates")
+def ddp04_near_duplicates(spark, d):
+    """Class and number of links of every document."""
+    return DD.near_duplicates(spread(load(spark, d, "documents").select("doc_id", "text", "date")), "doc_id", "text", "date")
 
 
 @register("ddp05_content_id", "SELECT text_uid, min(doc_id) AS doc_id FROM documents GROUP BY text_uid")
