@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from tidemark.lineage import cut
 
 # White space as str.strip() takes it.
-SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0  -     　"
+SPACE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
 def contributor(publisher: str, source: str) -> Column:
