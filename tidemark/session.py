@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
 
 def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator assumes: UTC and adaptive execution."""
@@ -18,11 +23,22 @@ def get_session(app: str = "tidemark", master: str | None = None, **conf: str) -
     } | conf
     for k, v in base.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    reach(spark)
+    return spark
+
+
+def reach(spark: SparkSession) -> None:
+    """Let Python workers find this package wherever the session was started."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Table ``table`` of the data directory; timestamps stay zone-less."""
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
