@@ -28,15 +28,19 @@ def compact(x: Column | str, most: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(c(x), r"\s+", " ")), 1, most)
 
 
+# What a title fingerprint leaves out, and what stands in its place.
+FINGERPRINT = (
+    (r"https?://\S+|www\.\S+", " "),
+    (r"\d{1,4}[年./-]\d{1,2}([月./-]\d{1,2}日?)?", " "),
+    (r"[^\p{L}\p{N}_]+", ""),
+    (r"(快讯|新闻|公告|研报|研究报告|点评|点评报告|摘要)$", ""),
+)
+
+
 def title_fingerprint(x: Column | str, most: int = 96) -> Column:
     """Lower case without links, dates, punctuation and a closing kind-of-news word."""
     s = F.lower(c(x))
-    for pattern, by in (
-        (r"https?://\S+|www\.\S+", " "),
-        (r"\d{1,4}[年./-]\d{1,2}([月./-]\d{1,2}日?)?", " "),
-        (r"[^\p{L}\p{N}_]+", ""),
-        (r"(快讯|新闻|公告|研报|研究报告|点评|点评报告|摘要)$", ""),
-    ):
+    for pattern, by in FINGERPRINT:
         s = F.regexp_replace(s, pattern, by)
     return F.substring(s, 1, most)
 
