@@ -182,10 +182,10 @@ def jon09_anti(spark, d):
     return load(spark, d, "stock").select("symbol").distinct().join(load(spark, d, "financial"), "symbol", "left_anti")
 
 
-@register("agg01_text_daily", f"""SELECT date, count(*) AS n, round(avg(score), 6) AS score_mean, round(avg(abs(score)), 6) AS score_abs_mean, round(avg((score > 4)::INT), 6) AS high_ratio, round(avg(chars), 6) AS length_mean, sum(chars)::BIGINT AS length_sum,
-    round(avg(quality), 6) AS quality_mean, round(avg((text_type = 'news')::INT), 6) AS news_ratio, round(avg((text_type = 'notice')::INT), 6) AS notice_ratio, count(DISTINCT source) AS source_diversity FROM ({_QUALITY_SQL}) WHERE date IS NOT NULL GROUP BY date""")
+@register("agg01_text_daily", f"""SELECT date, count(*) AS n, round(avg(score), 9) AS score_mean, round(avg(abs(score)), 9) AS score_abs_mean, round(avg((score > 4)::INT), 9) AS high_ratio, round(avg(chars), 9) AS length_mean, sum(chars)::BIGINT AS length_sum,
+    round(avg(quality), 9) AS quality_mean, round(avg((text_type = 'news')::INT), 9) AS news_ratio, round(avg((text_type = 'notice')::INT), 9) AS notice_ratio, count(DISTINCT source) AS source_diversity FROM ({_QUALITY_SQL}) WHERE date IS NOT NULL GROUP BY date""")
 def agg01_text_daily(spark, d):
-    r = lambda x: F.round(F.avg(x), 6)
+    r = lambda x: F.round(F.avg(x), 9)
     return _scored(spark, d).where("date is not null").groupBy("date").agg(
         F.count("*").alias("n"), r("score").alias("score_mean"), r(F.abs("score")).alias("score_abs_mean"), r((F.col("score") > 4).cast("int")).alias("high_ratio"), r("chars").alias("length_mean"), F.sum("chars").alias("length_sum"),
         r("quality").alias("quality_mean"), r((F.col("text_type") == "news").cast("int")).alias("news_ratio"), r((F.col("text_type") == "notice").cast("int")).alias("notice_ratio"), F.countDistinct("source").alias("source_diversity"))
