@@ -38,3 +38,16 @@ def test_share_counts_characters():
     n = len("".join(half.split()))
     assert abs(S.read_page(half + link)[2] - len(link) / (n + len(link))) < 1e-9
     assert S.read_page("")[2] == 0 and S.read_page("word " * 30_000)[2] == 1
+
+
+def test_spam_in_small_classes_and_in_the_majority(spark):
+    """A stuffed page alone in its length or language, one kind of spam in most of a class, and pages without any prose."""
+    r = random.Random(3)
+    prose = [(i, article(r, r.randint(4, 20)), "en") for i in range(60)]
+    alone = [(100, "\n".join(spam(r, 0) for _ in range(40)), "en"), (101, spam(r, 1), "fr"), (102, "#☂☂☂☂ " * 50, "en")]
+    most = [(200 + i, spam(r, 0), "en") for i in range(90)]
+    get = lambda rows: sorted(x["id"] for x in S.stuffed_pages(spark.createDataFrame(rows, "id long, t string, lang string"), "id", "t", "lang").collect())
+    assert get(prose + alone) == [100, 101, 102]
+    assert get(prose + most) == [i for i, *_ in most]
+    assert get(most[:5]) == [i for i, *_ in most[:5]]
+    assert get(prose) == []

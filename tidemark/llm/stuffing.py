@@ -3,8 +3,9 @@
 Per page the frequencies of its tokens are ranked, and a line is fitted to log
 frequency against log rank with SQL windows and regression aggregates.  Slope and
 residual of the fit, and how far the page's mix of tokens diverges from prose, are
-held against the pages of the same language and about the same length.  A page with
-an extreme value is spam if more than half of its characters really are keywords
+held against the prose pages of the same language and about the same length: those
+of which at most half is stuffed.  A page with an extreme value, or with no prose to
+hold it against, is spam if more than half of its characters really are keywords
 strung together, links or tags.
 
 A page's frequency spectrum (how many tokens occur f times) holds the whole ranked
@@ -32,6 +33,8 @@ from tidemark.session import spread
 EXTREME = 3.0
 #: Share of stuffed characters above which a page is spam.
 HALF = 0.5
+#: Prose pages a page is held against at least; where its class has fewer, the next lengths join.
+LEAST_LIKE = 8
 #: Share of the terms of unclosed lines that come again, and their least number, for keywords strung together.
 AGAIN, LEAST_TERMS = 0.6, 8
 #: Kinds of token the divergence looks at.
@@ -122,11 +125,36 @@ def page_measures(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFr
     return spread(base).mapInPandas(measure, f"_id {kind}, lang string, length int, kinds array<double>, f array<int>, n array<int>, share double")
 
 
+def _like(prose: DataFrame, classes: DataFrame) -> DataFrame:
+    """(lang, length, from): the lengths whose prose stands for a class, nearest first until there are enough pages.
+
+    Languages with too few pages of all lengths do not appear.
+    """
+    have = prose.groupBy("lang", F.col("length").alias("from")).agg(F.count("*").alias("n"))
+    near = W.partitionBy("lang", "length")
+    pairs = classes.join(have, "lang").withColumn("far", F.abs(F.col("length") - F.col("from")))
+    pairs = pairs.withColumn("before", F.coalesce(F.sum("n").over(near.orderBy("far").rangeBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return pairs.withColumn("all", F.sum("n").over(near)).where((F.col("before") < LEAST_LIKE) & (F.col("all") >= LEAST_LIKE)).select("lang", "length", "from")
+
+
+def _by_class(prose: DataFrame, classes: DataFrame, stats: list) -> DataFrame:
+    """Statistics (``stats``) of the prose like each class: of its language, else of all languages; null where there is none."""
+    own = _like(prose, classes)
+    rows = prose.withColumnRenamed("length", "from")
+    own = rows.join(F.broadcast(own), ["lang", "from"]).groupBy("lang", "length").agg(F.struct(*stats).alias("_own"))
+    lengths = classes.select(F.lit("").alias("lang"), "length").distinct()
+    every = _like(prose.withColumn("lang", F.lit("")), lengths)
+    every = rows.drop("lang").join(F.broadcast(every.drop("lang")), "from").groupBy("length").agg(F.struct(*stats).alias("_any"))
+    return classes.join(own, ["lang", "length"], "left").join(every, "length", "left").select("lang", "length", F.coalesce("_own", "_any").alias("_s")).select("lang", "length", "_s.*")
+
+
 def stuffed_pages(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFrame:
     """(``row_id``) of the pages most of whose characters are keywords, links or tags.
 
     Null and empty texts are no spam; a language that is missing or unknown counts by
-    the script of the text; equal pages each count; an empty table gives none.
+    the script of the text; equal pages each count; an empty table gives none.  Every
+    page is held against at least ``LEAST_LIKE`` pages of prose; where the whole table
+    has fewer, the stuffed share alone decides.
     """
     m = cut(page_measures(pages, row_id, text, lang).withColumn("_row", F.monotonically_increasing_id()))
     # Rank-frequency curve: the tokens that occur f times end at the rank of all that occur f times or more.
@@ -138,18 +166,18 @@ def stuffed_pages(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFr
         F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(0.0))) / F.count("*"))).alias("residual"),
     )
     like = ["lang", "length"]
-    prose = m.select(*like, F.posexplode("kinds")).groupBy(*like, "pos").agg(F.sum("col").alias("k"))
-    prose = prose.groupBy(*like).agg(F.sort_array(F.collect_list(F.struct("pos", "k"))).alias("q"))
+    classes = cut(m.select(*like).distinct())
+    mix = _by_class(m.where(F.col("share") <= HALF).select(*like, "kinds"), classes, [F.sum(F.col("kinds")[i]).alias(f"q{i}") for i in range(len(KINDS))])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     part = lambda a: F.transform(a, lambda v: (v + 0.5) / (total(a) + 0.5 * len(KINDS)))
-    d = m.join(prose, like).join(fit, "_row")
-    d = d.withColumn("p", part(F.col("kinds"))).withColumn("q", part(F.transform("q", lambda v: v["k"])))
+    d = m.join(F.broadcast(mix), like).join(fit, "_row", "left")
+    d = d.withColumn("p", part(F.col("kinds"))).withColumn("q", part(F.array(*(F.col(f"q{i}") for i in range(len(KINDS))))))
     d = d.withColumn("divergence", total(F.zip_with("p", "q", lambda a, b: a * F.log(a / b)))).select("_id", *like, "slope", "residual", "divergence", "share")
     d = cut(d)
     marks = ("slope", "residual", "divergence")
-    mid = d.groupBy(*like).agg(*(F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"_{c}") for c in marks))
-    flagged = None
+    mid = _by_class(d.where(F.col("share") <= HALF), classes, [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"_{c}") for c in marks])
+    flagged = F.col("_divergence").isNull()
     for c in marks:
         far = F.abs(F.col(c) - F.col(f"_{c}")[1]) > EXTREME * F.greatest((F.col(f"_{c}")[2] - F.col(f"_{c}")[0]) / 2, F.lit(0.01))
-        flagged = far if flagged is None else flagged | far
-    return d.join(mid, like).where(flagged & (F.col("share") > HALF)).select(F.col("_id").alias(row_id))
+        flagged = flagged | F.coalesce(far, F.lit(False))
+    return d.where(F.col("share") > HALF).join(F.broadcast(mid), like).where(flagged).select(F.col("_id").alias(row_id))
