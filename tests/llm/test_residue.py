@@ -56,3 +56,23 @@ def test_simhash_is_near_for_near_texts():
         far.append(bin((a ^ c) & (2**64 - 1)).count("1"))
     assert np.mean(near) < 12 < 26 < np.mean(far)
     assert R.simhashes(["", "a"])[0] == 0
+
+
+def test_no_similar_line_is_missed(spark):
+    """Lines at the bound of similarity whose SimHashes share no table, or differ in more bits than allowed, are found."""
+    r = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    seed = "".join(r.choice(letters) for _ in range(60)).strip()
+    far = []
+    own = int(R.simhashes([seed])[0]) & (2**64 - 1)
+    while len(far) < 5:
+        t = list(seed)
+        for _ in range(2):
+            t[r.randrange(len(t))] = r.choice(letters[:-1])
+        t = "".join(t)
+        sim = int(R.simhashes([t])[0]) & (2**64 - 1)
+        apart = all((own >> 8 * k) & 255 != (sim >> 8 * k) & 255 for k in range(8)) or bin(own ^ sim).count("1") > R.MAX_BITS
+        if R._similar(seed, t) and apart and t not in far:
+            far.append(t)
+    df = spark.createDataFrame([(s, int(h)) for s, h in zip(far, R.simhashes(far), strict=True)], "form string, sim long")
+    assert {x["form"] for x in R.labelled_lines(df, (seed,)).collect()} == set(far)

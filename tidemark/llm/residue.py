@@ -1,11 +1,11 @@
 """Template residue, filler, error pages and script demands.
 
 Two kinds of evidence.  An unfilled slot marks its row by itself, wherever it
-stands.  Whole lines of residue are found from a small labelled table: every
-line of a length that can be similar gets a SimHash, lines meet labelled lines in
-partitioned tables of the hash, a meeting counts if the Hamming distance and then
-the similarity of the texts allow it, and labels spread along such links until
-no component with a trusted line grows any more.
+stands.  Lines and sentences of residue are found from a small labelled table: they
+meet labelled lines in partitioned tables of a SimHash, and in tables of their least
+triples, which no similar pair can miss; a meeting counts if the similarity of the
+texts allows it, and labels spread along such links until no component with a
+trusted line grows any more.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from tidemark.llm.lookalikes import TWINS, invisible
 from tidemark.llm.text import Without, codes, compatible, gram_hashes, line_form
 from tidemark.session import spread
 
-#: Share of common character triples two lines need, tables of the hash, and bits that may differ.
+#: Share of common character triples two lines need, tables of the hash, and bits that may differ in these.
 SIMILAR, TABLES, MAX_BITS = 0.8, 8, 16
 #: Growth of a line along a chain of links that is still followed: lines longer than the longest
 #: labelled one by more than this cannot be linked to it in two steps.
@@ -76,6 +76,10 @@ def simhashes(texts: list[str]) -> np.ndarray:
     return out
 
 
+def seed_forms(seeds: tuple[str, ...]) -> list[str]:
+    return sorted({residue_form(line_form(plain(s))) for s in seeds})
+
+
 def _similar(a: str, b: str) -> bool:
     x, y = triples(a), triples(b)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -87,19 +91,29 @@ def _table_keys(sim: Column) -> Column:
     return F.array(*(F.concat(F.lit(f"{t}:"), F.shiftrightunsigned(sim, t * width).bitwiseAND(F.lit(2**width - 1)).cast("string")) for t in range(TABLES)))
 
 
+def _prefix(s: str) -> np.ndarray:
+    """The least triples of a line: of two lines as similar as ``SIMILAR``, these have one in common."""
+    x = triples(s)  # in order of the hash
+    return x[: len(x) - int(np.ceil(SIMILAR * len(x) - 1e-9)) + 1].view(np.int64)
+
+
 def labelled_lines(lines: DataFrame, seeds: tuple[str, ...] = residue_terms.LABELLED) -> DataFrame:
     """Of distinct ``lines`` (form, sim), those in a component of near-duplicate links with a seed."""
     spark = lines.sparkSession
-    forms = sorted({residue_form(line_form(plain(s))) for s in seeds})
-    frontier = cut(spark.createDataFrame(pd.DataFrame({"form": forms, "sim": simhashes(forms)}), "form string, sim bigint"))  # of a size the planner knows
+    forms = seed_forms(seeds)
+    prefix = F.pandas_udf(lambda s: pd.Series([_prefix(x) for x in s]), "array<bigint>")
+    keyed = lambda df: df.withColumn("keys", F.concat(_table_keys(F.col("sim")), prefix("form").cast("array<string>")))
+    lines = cut(keyed(lines))
+    frontier = cut(keyed(spark.createDataFrame(pd.DataFrame({"form": forms, "sim": simhashes(forms)}), "form string, sim bigint")))  # of a size the planner knows
     done = None
     pair_ok = F.pandas_udf(lambda a, b: pd.Series([_similar(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
     while True:
-        f = frontier.select(F.col("form").alias("_f"), F.col("sim").alias("_fs"), F.explode(_table_keys(F.col("sim"))).alias("key"))
+        f = frontier.select(F.col("form").alias("_f"), F.col("sim").alias("_fs"), F.explode("keys").alias("key"))
         rest = lines if done is None else lines.join(done, "form", "left_anti")
-        met = rest.select("form", "sim", F.explode(_table_keys(F.col("sim"))).alias("key")).join(f, "key")
-        met = met.where(F.bit_count(F.col("sim").bitwiseXOR(F.col("_fs"))) <= MAX_BITS).select("form", "sim", "_f").distinct()
-        new = cut(met.where(pair_ok("form", "_f")).select("form", "sim").distinct())
+        met = rest.select("form", "sim", F.explode("keys").alias("key")).join(f, "key")
+        met = met.where(~F.col("key").contains(":") | (F.bit_count(F.col("sim").bitwiseXOR(F.col("_fs"))) <= MAX_BITS)).select("form", "_f").distinct()
+        new = met.where(pair_ok("form", "_f")).select("form").distinct()
+        new = cut(lines.join(new, "form", "left_semi"))
         if new.isEmpty():
             return done if done is not None else lines.select("form").limit(0)
         done = new.select("form") if done is None else cut(done.unionByName(new.select("form")))
