@@ -76,3 +76,29 @@ def test_no_similar_line_is_missed(spark):
             far.append(t)
     df = spark.createDataFrame([(s, int(h)) for s, h in zip(far, R.simhashes(far), strict=True)], "form string, sim long")
     assert {x["form"] for x in R.labelled_lines(df, (seed,)).collect()} == set(far)
+
+
+def test_lines_of_any_length_and_many_links(spark):
+    """Filler repeated at length, an error with a long URL, and a chain of links whose ends have little in common."""
+    words = [f"{a}{b}{a}" for a in "bdfgkmnprst" for b in "aeiou"]
+    chain = [" ".join(words[k * 2 : k * 2 + 22]) for k in range(6)]
+    assert all(R._similar(a, b) for a, b in zip(chain, chain[1:], strict=False)) and not R._similar(chain[0], chain[2])
+    texts = ["测试数据，请勿理会，" * 40, "Hier steht Ihr Text. " * 50, "https://www.x.example/" + "a" * 300 + " 503 Service Unavailable", *chain]
+    clean = ["An article of some length. " * 40, "a" * 500, "请读者理会数据，" * 40]
+    df = spark.createDataFrame(list(enumerate(texts + clean)), "id long, t string")
+    got = sorted(x["id"] for x in R.residue_rows(df, ["id"], "t", (*R.residue_terms.LABELLED, chain[0])).collect())
+    assert got == list(range(len(texts)))
+
+
+def test_reach_misses_no_line():
+    r = random.Random(7)
+    seeds = R.seed_forms(R.residue_terms.LABELLED)
+    near, lines = R.Near(seeds), []
+    for s in seeds * 20:
+        t = list(s)
+        for _ in range(r.randint(0, len(t) // 8)):
+            t[r.randrange(len(t))] = r.choice("abcxyz的了 ")
+        lines.append("".join(t) * r.choice([1, 1, 5]))
+    lines = [" ".join(x.split()) for x in lines]
+    want = {x for x in lines if any(len(np.intersect1d(a := R.triples(x), b := R.triples(y))) >= R.REACH * len(np.union1d(a, b)) for y in seeds)}
+    assert len(want) > 300 and want <= {x for _, x in near(["\n".join(lines)])}

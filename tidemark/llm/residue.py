@@ -26,9 +26,11 @@ from tidemark.session import spread
 
 #: Share of common character triples two lines need, tables of the hash, and bits that may differ in these.
 SIMILAR, TABLES, MAX_BITS = 0.8, 8, 16
-#: Growth of a line along a chain of links that is still followed: lines longer than the longest
-#: labelled one by more than this cannot be linked to it in two steps.
-REACH = 1 / SIMILAR**2
+#: Similarity to a known line from which on lines are kept for comparison. One less Jaccard is a
+#: metric, so these are all that two links can reach; where links go on, the texts are read again.
+REACH = 2 * SIMILAR - 1
+#: Characters searched at once.
+CHUNK = 500_000
 
 _visible = Without(invisible())
 _TWINS = {ord(a): b for x, y in zip(TWINS[::2], TWINS[1::2], strict=True) for a, b in zip(x, y, strict=True)}
@@ -91,6 +93,67 @@ def _table_keys(sim: Column) -> Column:
     return F.array(*(F.concat(F.lit(f"{t}:"), F.shiftrightunsigned(sim, t * width).bitwiseAND(F.lit(2**width - 1)).cast("string")) for t in range(TABLES)))
 
 
+class Near:
+    """Search for the spans of a text that may be as similar as ``REACH`` to one of ``forms``, of any length.
+
+    Of such a span at most (1 - REACH) / REACH times as many distinct triples are
+    unknown as it shares with the form.  Unknown ones are counted by the buckets they
+    fall into, which is never too many: some other spans pass, but none is missed.
+    """
+
+    def __init__(self, forms: list[str]) -> None:
+        self.most = max((len(triples(f)) for f in forms), default=0)
+        self.short = {f for f in forms if len(f) < 3}
+        self.known = np.zeros(2**20, dtype=bool)
+        for f in forms:
+            self.known[self._hash(codes(f)) >> np.uint32(12)] = True
+
+    @staticmethod
+    def _hash(c: np.ndarray) -> np.ndarray:
+        return c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)
+
+    def load(self, c: np.ndarray) -> None:
+        h = self._hash(c)
+        known = self.known[h >> np.uint32(12)]
+        self.inside = np.concatenate(([0], np.cumsum(known)))
+        self.bits = np.append(np.where(known, np.uint64(0), np.uint64(1) << (h >> np.uint32(6) & np.uint32(63)).astype(np.uint64)), np.uint64(0))
+
+    def spans(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Indices of the spans [a, b) of the loaded text that may be near."""
+        at = np.flatnonzero(b - a >= 3)
+        if not len(at):
+            return at
+        a, b = a[at], b[at] - 2
+        unknown = np.bitwise_count(np.bitwise_or.reduceat(self.bits, np.stack((a, b), axis=1).ravel())[::2])
+        shared = np.minimum(self.inside[b] - self.inside[a], self.most)
+        return at[unknown * REACH <= (1 - REACH) * shared + 1e-9]
+
+    def __call__(self, texts: list[str]) -> set[tuple[int, str]]:
+        """(number of the text, line) of every line that may be near."""
+        out = set()
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+        text = "\n".join(texts)
+        c = codes(text)
+        if len(c) < 3:
+            return {(i, t) for i, t in enumerate(texts) if t in self.short}
+        self.load(c)
+        for a, b in units(text, c):
+            if self.short:
+                for k in np.flatnonzero(b - a < 3):
+                    if text[a[k] : b[k]] in self.short:
+                        out.add((int(np.searchsorted(begin, a[k], "right")) - 1, text[a[k] : b[k]]))
+            at = self.spans(a, b)
+            for i, x, y in zip(np.searchsorted(begin, a[at], "right") - 1, a[at], b[at], strict=True):
+                out.add((int(i), text[x:y]))
+        return out
+
+
+def units(text: str, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Starts and ends of what is compared in a text of code points ``c``: its lines."""
+    breaks = np.flatnonzero(c == 10)
+    yield np.concatenate(([0], breaks + 1)), np.append(breaks, len(c))
+
+
 def _prefix(s: str) -> np.ndarray:
     """The least triples of a line: of two lines as similar as ``SIMILAR``, these have one in common."""
     x = triples(s)  # in order of the hash
@@ -99,13 +162,17 @@ def _prefix(s: str) -> np.ndarray:
 
 def labelled_lines(lines: DataFrame, seeds: tuple[str, ...] = residue_terms.LABELLED) -> DataFrame:
     """Of distinct ``lines`` (form, sim), those in a component of near-duplicate links with a seed."""
+    return spread_labels(lines, seed_forms(seeds))[0]
+
+
+def spread_labels(lines: DataFrame, forms: list[str]) -> tuple[DataFrame, int]:
+    """Of distinct ``lines`` (form, sim), those linked to ``forms``, and the number of links the farthest needs."""
     spark = lines.sparkSession
-    forms = seed_forms(seeds)
     prefix = F.pandas_udf(lambda s: pd.Series([_prefix(x) for x in s]), "array<bigint>")
     keyed = lambda df: df.withColumn("keys", F.concat(_table_keys(F.col("sim")), prefix("form").cast("array<string>")))
     lines = cut(keyed(lines))
     frontier = cut(keyed(spark.createDataFrame(pd.DataFrame({"form": forms, "sim": simhashes(forms)}), "form string, sim bigint")))  # of a size the planner knows
-    done = None
+    done, steps = None, 0
     pair_ok = F.pandas_udf(lambda a, b: pd.Series([_similar(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
     while True:
         f = frontier.select(F.col("form").alias("_f"), F.col("sim").alias("_fs"), F.explode("keys").alias("key"))
@@ -115,7 +182,8 @@ def labelled_lines(lines: DataFrame, seeds: tuple[str, ...] = residue_terms.LABE
         new = met.where(pair_ok("form", "_f")).select("form").distinct()
         new = cut(lines.join(new, "form", "left_semi"))
         if new.isEmpty():
-            return done if done is not None else lines.select("form").limit(0)
+            return (done if done is not None else lines.select("form").limit(0)), steps
+        steps += 1
         done = new.select("form") if done is None else cut(done.unionByName(new.select("form")))
         frontier = new
 
@@ -124,32 +192,46 @@ def residue_rows(rows: DataFrame, keys: list[str], text: str, seeds: tuple[str,
     """``keys`` of the rows whose text is residue or contains it, each once.
 
     Null, empty and blank texts are no cases; equal rows each count; an empty table
-    gives none. Whole texts are searched for slots; of lines all are compared whose
-    length lets them be similar to labelled ones (see ``REACH``).
+    gives none. Whole texts are searched for slots, and lines of any length are
+    compared. A read keeps the lines that two links from the known ones can reach
+    (see ``REACH``); where a second link leads to new lines, these become known and
+    the texts are read again, until links lead no farther.
     """
-    longest = int(max(len(residue_form(line_form(plain(s)))) for s in seeds) * REACH) + 1
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", form string"
+    source = spread(rows.select(*keys, text).where(F.col(text).isNotNull()))
+    hashed = F.pandas_udf(lambda s: pd.Series(simhashes(list(s)), dtype="int64"), "bigint")
 
-    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            at, forms = [], []
-            for i, t in enumerate(p[text]):
-                t = plain(t)
-                if _SLOT.search(t):
-                    at.append(i)
-                    forms.append(None)
-                    continue
-                for x in {residue_form(x) for x in line_form(t).split("\n") if len(x) <= longest + 60}:
-                    if 0 < len(x) <= longest:
+    def read(forms: list[str]) -> DataFrame:
+        def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            near = Near(forms)
+            for p in batches:
+                at, got, part, size = [], [], [], 0
+                for i, t in enumerate(p[text]):
+                    t = plain(t)
+                    if _SLOT.search(t):
                         at.append(i)
-                        forms.append(x)
-            out = p[keys].iloc[at].reset_index(drop=True)
-            out["form"] = forms
-            yield out
-
-    u = cut(spread(rows.select(*keys, text).where(F.col(text).isNotNull())).mapInPandas(units, schema))
-    hashed = F.pandas_udf(lambda s: pd.Series(simhashes(list(s)), dtype="int64"), "bigint")
-    lines = cut(u.where("form is not null").select("form").distinct().withColumn("sim", hashed("form")))
-    bad = labelled_lines(lines, seeds)
+                        got.append(None)
+                    else:
+                        t = line_form(t)
+                        part.append((i, "\n".join(map(residue_form, t.split("\n"))) if _DOTTED.search(t) else t))
+                        size += len(t)
+                    if part and (size > CHUNK or i == len(p) - 1):
+                        for k, x in near([t for _, t in part]):
+                            at.append(part[k][0])
+                            got.append(x)
+                        part, size = [], 0
+                out = p[keys].iloc[at].reset_index(drop=True)
+                out["form"] = got
+                yield out
+
+        return cut(source.mapInPandas(found, schema))
+
+    known = seed_forms(seeds)
+    while True:
+        u = read(known)
+        bad, steps = spread_labels(cut(u.where("form is not null").select("form").distinct().withColumn("sim", hashed("form"))), known)
+        if steps < 2:
+            break
+        known = sorted({*known, *(x["form"] for x in bad.collect())})
     return u.where("form is null").select(*keys).unionByName(u.where("form is not null").join(bad, "form", "left_semi").select(*keys).distinct())
