@@ -102,3 +102,13 @@ def test_reach_misses_no_line():
     lines = [" ".join(x.split()) for x in lines]
     want = {x for x in lines if any(len(np.intersect1d(a := R.triples(x), b := R.triples(y))) >= R.REACH * len(np.union1d(a, b)) for y in seeds)}
     assert len(want) > 300 and want <= {x for _, x in near(["\n".join(lines)])}
+
+
+def test_residue_within_a_line(spark):
+    inside = [
+        "Please enable JavaScript to continue reading. The board of Halbeck met on Monday and left the dividend unchanged.", "青原重工今日公告回购股份。请启用JavaScript后继续浏览。公司股价上涨。",
+        "Revenue rose 3.1 percent. Sorry, something went wrong (code 93). Try again later. Costs fell.", "Die Aktie stieg. Bitte aktivieren Sie JavaScript, um fortzufahren.\nEnde",
+    ]
+    clean = ["Halbeck said users had to enable JavaScript before they could go on reading. Costs fell. Sales rose 2.5 percent.", "Its page was down. Customers saw error 503 for an hour! It is back."]
+    df = spark.createDataFrame(list(enumerate(inside + clean)), "id long, t string")
+    assert sorted(x["id"] for x in R.residue_rows(df, ["id"], "t").collect()) == list(range(len(inside)))

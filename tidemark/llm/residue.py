@@ -11,6 +11,7 @@ trusted line grows any more.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ _TWINS = {ord(a): b for x, y in zip(TWINS[::2], TWINS[1::2], strict=True) for a,
 _TWIN_RE = re.compile("[" + "".join(map(chr, _TWINS)) + "]")
 _HOST = re.compile(r"(?:https?://)?(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/\S*)?:?", re.ASCII)
 _DOTTED = re.compile(r"\.[a-z]")
+_STOP = re.compile(r"[。!?]+[\"”’»)」』]*|\.+[\"”’»)]*(?= )")
 _SLOT = re.compile("|".join(residue_terms.SLOTS))
 
 
@@ -93,25 +95,40 @@ def _table_keys(sim: Column) -> Column:
     return F.array(*(F.concat(F.lit(f"{t}:"), F.shiftrightunsigned(sim, t * width).bitwiseAND(F.lit(2**width - 1)).cast("string")) for t in range(TABLES)))
 
 
+def _runs(s: str) -> set[str]:
+    return {s[i : i + 3] for i in range(len(s) - 2)}
+
+
 class Near:
     """Search for the spans of a text that may be as similar as ``REACH`` to one of ``forms``, of any length.
 
     Of such a span at most (1 - REACH) / REACH times as many distinct triples are
     unknown as it shares with the form.  Unknown ones are counted by the buckets they
-    fall into, which is never too many: some other spans pass, but none is missed.
+    fall into, which is never too many, so that none is missed; what passes is compared.
     """
 
     def __init__(self, forms: list[str]) -> None:
         self.most = max((len(triples(f)) for f in forms), default=0)
         self.short = {f for f in forms if len(f) < 3}
         self.known = np.zeros(2**20, dtype=bool)
+        self.sizes, self.having = [], defaultdict(list)
         for f in forms:
             self.known[self._hash(codes(f)) >> np.uint32(12)] = True
+            own = _runs(f)
+            for g in own:
+                self.having[g].append(len(self.sizes))
+            self.sizes.append(len(own))
 
     @staticmethod
     def _hash(c: np.ndarray) -> np.ndarray:
         return c[:-2] * np.uint32(0x9E3779B1) + c[1:-1] * np.uint32(0x85EBCA77) + c[2:] * np.uint32(0xC2B2AE3D)
 
+    def similar(self, unit: str) -> bool:
+        """Whether a unit is as similar as ``REACH`` to one of the forms."""
+        own = _runs(unit)
+        shared = Counter(k for g in own if g in self.having for k in self.having[g])
+        return any(n >= REACH * (len(own) + self.sizes[k] - n) - 1e-9 for k, n in shared.items())
+
     def load(self, c: np.ndarray) -> None:
         h = self._hash(c)
         known = self.known[h >> np.uint32(12)]
@@ -129,7 +146,7 @@ class Near:
         return at[unknown * REACH <= (1 - REACH) * shared + 1e-9]
 
     def __call__(self, texts: list[str]) -> set[tuple[int, str]]:
-        """(number of the text, line) of every line that may be near."""
+        """(number of the text, unit) of every unit that may be near."""
         out = set()
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
         text = "\n".join(texts)
@@ -144,14 +161,26 @@ class Near:
                         out.add((int(np.searchsorted(begin, a[k], "right")) - 1, text[a[k] : b[k]]))
             at = self.spans(a, b)
             for i, x, y in zip(np.searchsorted(begin, a[at], "right") - 1, a[at], b[at], strict=True):
-                out.add((int(i), text[x:y]))
+                if self.similar(text[x:y]):
+                    out.add((int(i), text[x:y]))
         return out
 
 
 def units(text: str, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Starts and ends of what is compared in a text of code points ``c``: its lines."""
+    """Starts and ends of what is compared in a text of code points ``c``: its lines, their sentences, and neighbouring two of these."""
     breaks = np.flatnonzero(c == 10)
-    yield np.concatenate(([0], breaks + 1)), np.append(breaks, len(c))
+    first, last = np.concatenate(([0], breaks + 1)), np.append(breaks, len(c))
+    yield first, last
+    a = np.unique(np.concatenate((first, np.array([m.end() for m in _STOP.finditer(text)], dtype=np.int64))))
+    a = a[a < len(c)]
+    a = a[c[a] != 10]
+    line = np.searchsorted(first, a, "right") - 1
+    b = np.minimum(np.append(a[1:], len(c)), last[line])
+    a = a + (c[a] == 32)
+    on = line[1:] == line[:-1]
+    several = np.append(on, False) | np.append(False, on)
+    yield a[several], b[several]
+    yield a[:-1][on], b[1:][on]
 
 
 def _prefix(s: str) -> np.ndarray:
@@ -192,8 +221,8 @@ def residue_rows(rows: DataFrame, keys: list[str], text: str, seeds: tuple[str,
     """``keys`` of the rows whose text is residue or contains it, each once.
 
     Null, empty and blank texts are no cases; equal rows each count; an empty table
-    gives none. Whole texts are searched for slots, and lines of any length are
-    compared. A read keeps the lines that two links from the known ones can reach
+    gives none. Whole texts are searched for slots, and lines of any length,
+    their sentences and neighbouring pairs of sentences are compared. A read keeps the lines that two links from the known ones can reach
     (see ``REACH``); where a second link leads to new lines, these become known and
     the texts are read again, until links lead no farther.
     """
