@@ -39,3 +39,12 @@ def test_held_out_pages():
                 right += sum(g == (s[0] == "+") for g, s in zip(guess, p, strict=True))
                 total += len(p)
     assert right / total > 0.9
+
+
+def test_long_lists_have_their_features():
+    """Menus, tables and long runs of few words count as such at any length."""
+    entries = sorted(P.NAV)[:30]
+    page = "Halbeck Grid said revenue rose 3.1 percent to 40.2 million in the quarter.\n" + " | ".join(entries) + "\nHalbeck Grid | " + " | ".join(["31.4"] * 40) + "\n" + "x" * 130
+    f = [dict(zip(B.NAMES, x, strict=True)) for x in B.blocks(page)[1]]
+    assert f[1]["nav"] == 1 and f[1]["items"] == 4 and f[0]["next_nav"] == 1 and f[2]["prev_nav"] == 1
+    assert f[2]["cells"] == 1 and f[2]["nav"] == 0 and f[3]["words"] == 0

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,8 +26,8 @@ from tidemark.session import spread
 
 #: Bounds of the tree.
 MAX_DEPTH, MIN_LEAF = 10, 1
-#: Lines longer than this are no lists; words are not counted beyond.
-LISTED = 120
+#: Words are not counted beyond.
+MANY = 8
 
 _SEPARATOR = re.compile(r"\s*[|·•»/→☰>]\s*|\s+[-–—]\s+|\t+| {2,}|,\s+|、")
 _LABEL = re.compile(f"(?:{fixed.LABELS})[:：]?")
@@ -56,12 +57,12 @@ def blocks(page: str) -> tuple[list[int], list[tuple]]:
         if not s:
             continue
         size = len(s)
-        n = len(WORD.findall(s)) if size <= LISTED else LISTED
+        n = sum(1 for _ in islice(WORD.finditer(s), MANY))
         cue = _CUE.match(s) is not None
         label = size <= 60 and _LABEL.fullmatch(s) is not None
         sentence = n >= 4 and not cue and _END.search(s, max(0, size - 3)) is not None
         nav, n_items, cells = 0.0, 1, 0.0
-        if size <= LISTED and not (sentence and n >= 8):
+        if not (sentence and n >= MANY):
             listed = _MENU.sub("", s) if ":" in s else s
             items = [x for x in (x.strip("[]+() ") for x in _SEPARATOR.split(listed)) if x]
             n_items = len(items)
