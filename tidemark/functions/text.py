@@ -82,13 +82,14 @@ def unique_terms(terms: list[object]) -> list[str]:
     return list(dict.fromkeys(t for t in (str(x or "").strip().lower() for x in terms) if t))
 
 
-def shingles(x: Column | str, n: int = 3, most: int = 600) -> Column:
-    """Distinct runs of n characters of the letters and digits; a shorter text is its own shingle."""
-    def grams(s: Column) -> Column:
-        own = F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), lambda i: F.substr(s, i, F.lit(n)))
-        return F.when(F.length(s) >= n, F.array_distinct(own)).when(F.length(s) > 0, F.array(s)).otherwise(F.array().cast("array<string>"))
-
-    return let(F.substring(F.regexp_replace(F.lower(c(x)), r"[^\p{L}\p{N}_]+", ""), 1, most), grams)
+def shingles(x: Column | str, n: int = 3, most: int | None = None) -> Column:
+    """Distinct runs of n characters of the letters and digits, of the first ``most`` of these if given; a shorter text is its own shingle."""
+    def grams(p: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.size(p) - (n - 1)), lambda i: F.array_join(F.slice(p, i, n), ""))
+        return F.when(F.size(p) >= n, F.array_distinct(own)).when(F.size(p) > 0, F.array(F.array_join(p, ""))).otherwise(F.array().cast("array<string>"))
+
+    s = F.regexp_replace(F.lower(c(x)), r"[^\p{L}\p{N}_]+", "")
+    return let(F.regexp_extract_all(s if most is None else F.substring(s, 1, most), F.lit("(?s)(.)"), F.lit(1)), grams)
 
 
 def word_shingles(x: Column | str, n: int = 5) -> Column:

@@ -54,9 +54,11 @@ _scalar("str08_strip_publisher", "news", "news_id", {"t": (lambda: T.strip_publi
 _scalar("str09_prefix_title", "documents", "doc_id", {"t": (lambda: F.substring("text", 1, 60), "substr(text, 1, 60)")})
 _scalar("str10_content_id", "documents", "doc_id", {"uid": (lambda: T.content_id("date", "text_type", "source", "url", "title"), "sha1(concat_ws('|', coalesce(date::VARCHAR, ''), trim(coalesce(text_type, '')), trim(coalesce(source, '')), trim(coalesce(url, '')), trim(coalesce(title, ''))))")})
 _scalar("str11_cache_key", "documents", "doc_id", {"k": (lambda: F.sha2(F.trim("url"), 256), "sha256(trim(url))")})
-_scalar("str13_shingles", "documents", "doc_id", {"n": (lambda: F.size(T.shingles("text")).cast("bigint"), f"len({_GRAMS.format('text')})")})
-_scalar("str14_jaccard", "documents", "doc_id", {"j": (lambda: F.round(T.jaccard(T.shingles("title"), T.shingles(F.substring("text", 1, 100))), 9),
+_scalar("str13_shingles", "documents", "doc_id", {"n": (lambda: F.size(T.shingles("text", most=600)).cast("bigint"), f"len({_GRAMS.format('text')})")})
+_scalar("str14_jaccard", "documents", "doc_id", {"j": (lambda: F.round(T.jaccard(T.shingles("title", most=600), T.shingles(F.substring("text", 1, 100), most=600)), 9),
     f"round(len(list_intersect({_GRAMS.format('title')}, {_GRAMS.format('substr(text, 1, 100)')})) / greatest(len(list_distinct(list_concat({_GRAMS.format('title')}, {_GRAMS.format('substr(text, 1, 100)')}))), 1), 9)")})
+define("str13_shingles_whole", lambda spark, d: spread(load(spark, d, "documents")).select("doc_id", F.size(T.shingles("text")).cast("bigint").alias("n")))
+define("str14_jaccard_whole", lambda spark, d: spread(load(spark, d, "documents")).select("doc_id", F.round(T.jaccard(T.shingles("title"), T.shingles("text")), 9).alias("j")))
 _HITS = lambda ws, ps: f"(len(list_intersect(regexp_extract_all(lower(text), '[a-z][a-z''\\-]+'), [{', '.join(repr(w) for w in ws)}])) + " + " + ".join(f"contains(lower(text), '{p}')::INT" for p in ps) + ")"
 _scalar("str15_lexicon_hits", "documents", "doc_id", {"plus": (lambda: T.lexicon_hits("text", POSITIVE, POSITIVE_CN).cast("bigint"), _HITS(POSITIVE, POSITIVE_CN)), "minus": (lambda: T.lexicon_hits("text", NEGATIVE, NEGATIVE_CN).cast("bigint"), _HITS(NEGATIVE, NEGATIVE_CN))})
 _scalar("str16_keyword_balance", "news", "news_id", {"s": (lambda: T.keyword_balance("title", POSITIVE + POSITIVE_CN, NEGATIVE + NEGATIVE_CN).cast("bigint"),
