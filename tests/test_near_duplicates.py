@@ -47,3 +47,11 @@ def test_classes_against_brute_force(spark):
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {x["id"]: x["class"] for x in D.components(e).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_undated_copies_are_compared(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = [*w[:30], "other", *w[31:]]
+    rows = [(1, " ".join(w), None), (2, " ".join(w), None), (3, " ".join(near), None), (4, " ".join(w), DAY), (5, None, None), (6, None, None)]
+    df = spark.createDataFrame(rows, "id long, t string, d date")
+    assert sorted(map(tuple, D.near_duplicates(df, "id", "t", "d").collect())) == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0), (5, 5, 0), (6, 6, 0)]

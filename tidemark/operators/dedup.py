@@ -97,20 +97,25 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
+#: Stands for a missing day: farther from any other than a window reaches.
+UNDATED = -100_000_000
+
+
 def near_duplicates(df: DataFrame, row_id: str, text: str, day: str, window_days: int = 14, threshold: float = 0.8) -> DataFrame:
     """(``row_id``, class, links): near-duplicate classes of whole texts close in time.
 
     Texts are compared by their runs of five words. Equal texts of one day are one class
     from the start and are compared once; a row's links are the other texts its own
-    is similar to within the window. Rows without text or day, and texts of fewer than
-    eight runs, are classes of their own; a class is named by its smallest id.
+    is similar to within the window. Texts without a day are compared with each other
+    alone. Rows without text, and texts of fewer than eight runs without an equal one
+    of their day, are classes of their own; a class is named by its smallest id.
     """
     kind = dict(df.dtypes)[row_id]
     base = df.select(F.col(row_id).alias("id"), F.col(text).alias("t"), F.col(day).cast("date").alias("d"))
-    whole = F.col("t").isNotNull() & F.col("d").isNotNull()
-    base = cut(base.select("id", "d", F.when(whole, F.sha2("t", 256)).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))).alias("h"), "t"))
+    base = cut(base.select("id", "d", F.when(F.col("t").isNotNull(), F.sha2("t", 256)).otherwise(F.concat(F.lit("#"), F.col("id").cast("string"))).alias("h"), "t"))
     reps = base.groupBy("h", "d").agg(F.min("id").alias("rep"))
-    some = base.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").where("t is not null and d is not null")
+    some = base.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").where("t is not null")
+    some = some.withColumn("d", F.coalesce("d", F.date_from_unix_date(F.lit(UNDATED))))
     pairs = cut(similar_pairs(some.withColumn("s", word_shingles("t")), "id", "s", "d", window_days, threshold))
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
     named = components(pairs).withColumnRenamed("id", "rep")
