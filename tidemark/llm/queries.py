@@ -22,6 +22,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("field", F.col("a").alias("news_id_a"), F.col("b").alias("news_id_b"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.same_look_classes(load(spark, d, "news"), "news_id", ["title", "content"])
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     rows = None
     for tbl, key in (("news", "news_id"), ("notices", "notice_id")):
@@ -77,7 +81,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_sampled": p3_sampled, "p4_found": p4_found, "p5_found": p5_found,
+    "p2_found": p2_found, "p2_cleaned": p2_cleaned, "p3_found": p3_found, "p3_sampled": p3_sampled, "p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found,
     "p7_found": p7_found, "p8_found": p8_found, "p8_packed": p8_packed, "p8_fill": p8_fill, "p9_found": p9_found, "p10_found": p10_found,
 }
 

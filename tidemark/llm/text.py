@@ -84,13 +84,13 @@ def char_class(points: list[int]) -> str:
 
 # Classes stay within the first plane, where a search looks up one table per character.
 _COMPATIBLE = re.compile(char_class([c for c in range(0xA0, 0x10000) if not 0xD800 <= c < 0xE000 and not unicodedata.is_normalized("NFKC", chr(c))]) + "+")
-_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _MARK = re.compile("[\u0300-\u036f]")
 
 
 def compatible(s: str) -> str:
     """NFKC of ``s``, touching only what it changes."""
-    if _BEYOND.search(s):
+    if BEYOND.search(s):
         return unicodedata.normalize("NFKC", s)
     s = _COMPATIBLE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), s)
     return unicodedata.normalize("NFC", s) if _MARK.search(s) else s
@@ -104,4 +104,4 @@ class Without:
         self.seen = re.compile(char_class(sorted(p for p in points if p < 0x10000)))
 
     def __call__(self, s: str) -> str:
-        return s.translate(self.table) if self.seen.search(s) or _BEYOND.search(s) else s
+        return s.translate(self.table) if self.seen.search(s) or BEYOND.search(s) else s
