@@ -112,3 +112,37 @@ def test_residue_within_a_line(spark):
     clean = ["Halbeck said users had to enable JavaScript before they could go on reading. Costs fell. Sales rose 2.5 percent.", "Its page was down. Customers saw error 503 for an hour! It is back."]
     df = spark.createDataFrame(list(enumerate(inside + clean)), "id long, t string")
     assert sorted(x["id"] for x in R.residue_rows(df, ["id"], "t").collect()) == list(range(len(inside)))
+
+
+def test_marked_spans_are_units(spark):
+    """Slots of any name meet the labelled span of their marks; the same brackets around words of a text do not."""
+    slots = [
+        "Sales of {% ticker %} rose.", "Output at @@site@@ fell.", "Dear {{ user.first_name }}, shares rose.", "{customer_name} said so.", "停工10天XX万元，影响产量。", "Die Firma Blindtext Blindtext wuchs.", "rose [PERCENTAGE HERE] in May",
+        "于【请填写日期】召开", "<%= title %> fell", "the %QUARTER% figures", "In [insert quarter] it rose",
+    ]
+    clean = ["the set { 3.0, 4.0 } of prices", "used the {short} form [sic]", "[SIC] x", "【21570603】号", "《红楼梦》再版", "up 5% and 6% [2]", "型号ModelXX型", "[he] said", "{a} or {b}"]
+    df = spark.createDataFrame(list(enumerate(slots + clean)), "id long, t string")
+    assert sorted(x["id"] for x in R.residue_rows(df, ["id"], "t").collect()) == list(range(len(slots)))
+
+
+# Messages in wordings that are not in the labelled table, written after it.
+OTHER_WORDING = (
+    "Sorry, the page you were looking for could not be found.", "Error 404: Page Not Found", "HTTP Error 503: The service is unavailable", "Error 502 (Bad Gateway)!!", "404 — Not Found", "The requested URL /a/b was not found on this server.",
+    "This website requires JavaScript to be enabled.", "You must enable JavaScript to run this app.", "Please enable JavaScript to view the content.", "JavaScript must be enabled in order to view this site.", "Please enable JavaScript in your web browser.",
+    "It seems JavaScript is disabled in your browser.", "We've detected that JavaScript is disabled in your browser.", "Enable JavaScript and cookies to continue reading", "Checking your browser before accessing example.com", "Please verify that you are a human.", "An error occurred while processing your request. Please try again.",
+    "抱歉，您访问的页面不存在。", "对不起，您访问的页面不存在", "服务器繁忙，请稍后重试", "请启用JavaScript后访问此页面", "您的浏览器已禁用JavaScript，请启用后刷新页面", "系统维护中，请稍后再访问",
+    "Die angeforderte Seite konnte nicht gefunden werden.", "Es ist ein Fehler aufgetreten. Bitte versuchen Sie es erneut.", "Bitte aktivieren Sie JavaScript in Ihrem Browser", "JavaScript ist in Ihrem Browser deaktiviert!", "Um diese Seite anzuzeigen, aktivieren Sie bitte JavaScript.",
+)
+REPORTS = (
+    "Users who had JavaScript disabled could not open the page, Halbeck said.", "The page could not be found for two hours on Monday, costing the firm sales.", "The regulator denied access to the site on Friday.", "Halbeck moved its error pages to a new server.",
+    "公司回应称页面不存在的问题已经修复。", "该网站要求用户启用脚本，引发投诉。", "Die Seite war am Montag zwei Stunden lang nicht erreichbar.", "The service was unavailable in May, and 503 errors rose.",
+)
+
+
+def test_held_out_wordings(spark):
+    """How far the labelled table reaches beyond its own wordings, at a similarity of 0.8; no report on such a message is taken."""
+    df = spark.createDataFrame(list(enumerate(OTHER_WORDING + REPORTS)), "id long, t string")
+    got = {x["id"] for x in R.residue_rows(df, ["id"], "t").collect()}
+    assert not any(i >= len(OTHER_WORDING) for i in got)
+    print("held out", len(got), len(OTHER_WORDING), [OTHER_WORDING[i] for i in range(len(OTHER_WORDING)) if i not in got])
+    assert len(got) >= 0.4 * len(OTHER_WORDING)
