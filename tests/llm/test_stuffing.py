@@ -51,3 +51,31 @@ def test_spam_in_small_classes_and_in_the_majority(spark):
     assert get(prose + most) == [i for i, *_ in most]
     assert get(most[:5]) == [i for i, *_ in most[:5]]
     assert get(prose) == []
+
+
+def test_verdict_does_not_depend_on_other_pages(spark):
+    """The same pages come out alone, few at a time, among as many others and among many."""
+    r = random.Random(9)
+    bad = [(1000 + i, article(r, 1) + "\n" + spam(r, i % 4), "en") for i in range(24)]
+    good = [(i, article(r, r.randint(4, 20)), "en") for i in range(200)]
+    get = lambda rows: {x["id"] for x in S.stuffed_pages(spark.createDataFrame(rows, "id long, t string, lang string"), "id", "t", "lang").collect()}
+    want = {i for i, *_ in bad}
+    assert get(bad) == want and get(bad + good[:24]) == want and get(bad + good) == want
+    assert get(bad[:1]) == {1000} and get(bad[:3]) == {1000, 1001, 1002}
+
+
+def test_curves_tell_prose_from_stuffing_by_themselves(spark):
+    """Without the exact check: few pages of prose are extreme, all stuffed pages are."""
+    r = random.Random(11)
+    rows = [(1000 + i, spam(r, i % 4), "en") for i in range(40)]
+    sample = S.PROSE["en"].split("\n")
+    rows += [(i, " ".join(r.sample(sample, r.randint(8, 30))), "en") for i in range(200)]
+    d = S.curves(spark.createDataFrame(rows, "id long, t string, lang string"), "id", "t", "lang").select("_id", S.extreme().alias("x")).collect()
+    assert all(x["x"] for x in d if x["_id"] >= 1000)
+    assert sum(x["x"] for x in d if x["_id"] < 1000) <= 10
+
+
+def test_reference_has_every_language_and_length():
+    ref = {(g, n): x for g, n, *x in S.reference()}
+    assert set(ref) == {(g, n) for g in ("", "en", "de", "zh") for n in range(S.LONGEST + 1)}
+    assert all(v[0] < 0 <= v[1] and v[2] <= 0 and abs(sum(v[3]) - 1) < 1e-9 for v in ref.values())

@@ -2,11 +2,13 @@
 
 Per page the frequencies of its tokens are ranked, and a line is fitted to log
 frequency against log rank with SQL windows and regression aggregates.  Slope and
-residual of the fit, and how far the page's mix of tokens diverges from prose, are
-held against the prose pages of the same language and about the same length: those
-of which at most half is stuffed.  A page with an extreme value, or with no prose to
-hold it against, is spam if more than half of its characters really are keywords
-strung together, links or tags.
+residual of the fit, where the curve ends, and how far the page's mix of tokens
+diverges from prose are held against reference curves of the same language and about
+the same length.  These come from a labelled sample of prose (``stuffing_prose``), of
+which pages of every length are composed; no page of the corpus enters them, so a page
+is judged alike whatever stands beside it.  A page with an extreme value is spam if, by
+an exact check, more than half of its characters are keywords strung together, links or
+tags.
 
 A page's frequency spectrum (how many tokens occur f times) holds the whole ranked
 curve in a few rows; that is all that is shuffled.
@@ -17,28 +19,33 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.lineage import cut
 from tidemark.llm.residue import plain
+from tidemark.llm.stuffing_prose import PROSE
 from tidemark.llm.text import WORD
 from tidemark.session import spread
 
-#: Deviations (in median absolute deviations from the median of like pages) that are extreme.
-EXTREME = 3.0
+#: Distances from the reference from which on a value is extreme: of slope, residual, the logarithm of
+#: the share of distinct tokens, and divergence (in nats).
+EXTREME = {"slope": 0.25, "residual": 0.2, "extent": 0.5, "divergence": 0.25}
 #: Share of stuffed characters above which a page is spam.
 HALF = 0.5
-#: Prose pages a page is held against at least; where its class has fewer, the next lengths join.
-LEAST_LIKE = 8
+#: Pages composed for a reference curve, and the longest length (power of two tokens); longer pages are held against that.
+COMPOSED, LONGEST = 25, 17
+#: Share of a sample's sentences in which a small word stands, by language: a Han character stands in more of them.
+SMALL = {"en": 0.07, "de": 0.07, "zh": 0.12}
 #: Share of the terms of unclosed lines that come again, and their least number, for keywords strung together.
 AGAIN, LEAST_TERMS = 0.6, 8
 #: Kinds of token the divergence looks at.
-KINDS = ("word", "han", "number", "stop", "comma", "link", "tag")
+KINDS = ("word", "small", "han", "small han", "number", "stop", "comma", "link", "tag")
 
 _LINK = re.compile(r"(?:https?://|www\.)\S+", re.ASCII | re.IGNORECASE)
 _TAG = re.compile(r"#[^\s#]+")
@@ -63,7 +70,8 @@ def read_page(text: str) -> tuple[Counter, list[int], float]:
     freq: Counter = Counter()
     total = stuffed = links = tags = 0
     loose: list[str] = []
-    for line in text.lower().split("\n"):
+    text = text.lower()
+    for line in text.split("\n"):
         size = len("".join(line.split()))
         if not size:
             continue
@@ -81,13 +89,81 @@ def read_page(text: str) -> tuple[Counter, list[int], float]:
     again = sum(len(t) * n for t, n in terms.items() if n > 1)
     if sum(terms.values()) >= LEAST_TERMS and again >= AGAIN * sum(len(t) * n for t, n in terms.items()):
         stuffed += sum(len("".join(x.split())) for x in loose)
+    return freq, token_kinds(freq, text, links, tags), stuffed / total if total else 0.0
+
+
+@lru_cache(maxsize=1)
+def small_words() -> frozenset[str]:
+    """Words that prose cannot do without: those of many sentences of the sample."""
+    out = set()
+    for lang, text in PROSE.items():
+        sentences = text.lower().split("\n")
+        of = Counter(w for x in sentences for w in set(WORD.findall(x)) if not w.isdecimal())
+        out |= {w for w, k in of.items() if k >= SMALL[lang] * len(sentences)}
+    return frozenset(out)
+
+
+def token_kinds(freq: Counter, text: str, links: int, tags: int) -> list[int]:
+    """Tokens of each of ``KINDS``."""
     n: Counter = Counter()
+    small = small_words()
     for t, k in freq.items():
-        n["han" if "㐀" <= t[0] <= "鿿" else "number" if t[0].isdecimal() and t.isdecimal() else "word"] += k
+        kind = "han" if "㐀" <= t[0] <= "鿿" else "number" if t[0].isdecimal() and t.isdecimal() else "word"
+        n[kind if t not in small else "small" if kind == "word" else "small han"] += k
     n["stop"] = sum(map(text.count, ".!?。"))
-    n["comma"] = sum(map(text.count, ",、;·|"))
+    n["comma"] = sum(map(text.count, ",、;·|，"))
     n["link"], n["tag"] = links * 5, tags * 5
-    return freq, [n[k] for k in KINDS], stuffed / total if total else 0.0
+    return [n[k] for k in KINDS]
+
+
+def _mix(kinds: list[int]) -> np.ndarray:
+    x = np.array(kinds, dtype=float) + 0.5
+    return x / x.sum()
+
+
+@lru_cache(maxsize=1)
+def reference() -> list[tuple]:
+    """(lang, length, slope, residual, extent, mix) of prose: medians of composed pages, and their mean mix.
+
+    Language "" stands for any other; it has the pages of all alphabets. A length is the
+    power of two up to which a page has tokens; short lengths without a composed page
+    take the next longer.
+    """
+    rng = np.random.default_rng(7)
+    pages: dict[tuple[str, int], list] = {}
+    for lang, text in PROSE.items():
+        sentences = [(Counter(WORD.findall(x)), x) for x in text.lower().split("\n")]
+        mean = sum(sum(c.values()) for c, _ in sentences) / len(sentences)
+        for k in range(LONGEST + 1):
+            for _ in range(COMPOSED):
+                much = rng.multinomial(max(1, round(2**k * (1 + rng.random()) / mean)), np.full(len(sentences), 1 / len(sentences)))
+                freq: Counter = Counter()
+                kinds = np.zeros(len(KINDS))
+                for m, (c, x) in zip(much, sentences, strict=True):
+                    for w, n in c.items():
+                        freq[w] += n * int(m)
+                    kinds += m * np.array(token_kinds(c, x, 0, 0))
+                total = sum(freq.values())
+                f, ranks = np.array(sorted({v for v in freq.values() if v}, reverse=True)), []
+                spectrum = Counter(v for v in freq.values() if v)
+                ranks = np.cumsum([spectrum[v] for v in f])
+                slope, residual = np.nan, np.nan
+                if len(f) > 1:
+                    y, x = np.log(f), np.log(ranks)
+                    line = np.polyfit(x, y, 1)
+                    slope, residual = line[0], np.sqrt(np.mean((np.polyval(line, x) - y) ** 2))
+                length = int(np.log2(max(2, total)))
+                one = (slope, residual, np.log(ranks[-1] / total), _mix(kinds))
+                for g in (lang,) if lang == "zh" else (lang, ""):
+                    pages.setdefault((g, length), []).append(one)
+    out = []
+    for g in ("", *PROSE):
+        have = sorted(n for lang, n in pages if lang == g and any(np.isfinite(p[0]) for p in pages[lang, n]))
+        for length in range(LONGEST + 1):
+            v = pages[g, min((n for n in have if n >= length), default=have[-1])]
+            mid = [float(np.nanmedian([p[i] for p in v])) for i in range(3)]
+            out.append((g, length, *mid, [float(q) for q in np.mean([p[3] for p in v], axis=0)]))
+    return out
 
 
 def _prose(line: str, words: list[str]) -> bool:
@@ -116,45 +192,19 @@ def page_measures(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFr
                 t = plain(t)
                 freq, kinds, share = read_page(t)
                 spectrum = Counter(freq.values())
-                n = sum(kinds[:3])
-                g = "zh" if kinds[1] * 2 > n else g if g and g not in ("und", "zh") else "en"
-                out.append((i, g, int(np.log2(max(2, n))), [float(k) for k in kinds], sorted(spectrum), [spectrum[f] for f in sorted(spectrum)], share))
+                n = sum(kinds[:5])
+                g = "zh" if (kinds[2] + kinds[3]) * 2 > n else g if g in PROSE and g != "zh" else ""
+                out.append((i, g, min(int(np.log2(max(2, n))), LONGEST), [float(k) for k in kinds], sorted(spectrum), [spectrum[f] for f in sorted(spectrum)], share))
             yield pd.DataFrame(out, columns=["_id", "lang", "length", "kinds", "f", "n", "share"])
 
     base = pages.select(F.col(row_id).alias("_id"), F.col(text).alias("_t"), F.lower(lang).alias("_g")).where("_t is not null and _id is not null")
     return spread(base).mapInPandas(measure, f"_id {kind}, lang string, length int, kinds array<double>, f array<int>, n array<int>, share double")
 
 
-def _like(prose: DataFrame, classes: DataFrame) -> DataFrame:
-    """(lang, length, from): the lengths whose prose stands for a class, nearest first until there are enough pages.
-
-    Languages with too few pages of all lengths do not appear.
-    """
-    have = prose.groupBy("lang", F.col("length").alias("from")).agg(F.count("*").alias("n"))
-    near = W.partitionBy("lang", "length")
-    pairs = classes.join(have, "lang").withColumn("far", F.abs(F.col("length") - F.col("from")))
-    pairs = pairs.withColumn("before", F.coalesce(F.sum("n").over(near.orderBy("far").rangeBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return pairs.withColumn("all", F.sum("n").over(near)).where((F.col("before") < LEAST_LIKE) & (F.col("all") >= LEAST_LIKE)).select("lang", "length", "from")
-
-
-def _by_class(prose: DataFrame, classes: DataFrame, stats: list) -> DataFrame:
-    """Statistics (``stats``) of the prose like each class: of its language, else of all languages; null where there is none."""
-    own = _like(prose, classes)
-    rows = prose.withColumnRenamed("length", "from")
-    own = rows.join(F.broadcast(own), ["lang", "from"]).groupBy("lang", "length").agg(F.struct(*stats).alias("_own"))
-    lengths = classes.select(F.lit("").alias("lang"), "length").distinct()
-    every = _like(prose.withColumn("lang", F.lit("")), lengths)
-    every = rows.drop("lang").join(F.broadcast(every.drop("lang")), "from").groupBy("length").agg(F.struct(*stats).alias("_any"))
-    return classes.join(own, ["lang", "length"], "left").join(every, "length", "left").select("lang", "length", F.coalesce("_own", "_any").alias("_s")).select("lang", "length", "_s.*")
-
+def curves(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFrame:
+    """Per page: _id, language, length, stuffed share, and the distances of slope, residual, extent and divergence from prose.
 
-def stuffed_pages(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFrame:
-    """(``row_id``) of the pages most of whose characters are keywords, links or tags.
-
-    Null and empty texts are no spam; a language that is missing or unknown counts by
-    the script of the text; equal pages each count; an empty table gives none.  Every
-    page is held against at least ``LEAST_LIKE`` pages of prose; where the whole table
-    has fewer, the stuffed share alone decides.
+    Slope and residual are null where all tokens occur equally often.
     """
     m = cut(page_measures(pages, row_id, text, lang).withColumn("_row", F.monotonically_increasing_id()))
     # Rank-frequency curve: the tokens that occur f times end at the rank of all that occur f times or more.
@@ -164,20 +214,31 @@ def stuffed_pages(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFr
     fit = curve.groupBy("_row").agg(
         F.regr_slope(y, x).alias("slope"),
         F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(0.0))) / F.count("*"))).alias("residual"),
+        F.log(F.sum("n") / F.sum(F.col("n") * F.col("f"))).alias("extent"),
     )
-    like = ["lang", "length"]
-    classes = cut(m.select(*like).distinct())
-    mix = _by_class(m.where(F.col("share") <= HALF).select(*like, "kinds"), classes, [F.sum(F.col("kinds")[i]).alias(f"q{i}") for i in range(len(KINDS))])
+    fit = fit.withColumn("residual", F.when(F.col("slope").isNotNull(), F.col("residual")))
+    like = pages.sparkSession.createDataFrame(reference(), "lang string, length int, _slope double, _residual double, _extent double, _mix array<double>")
+    d = m.join(F.broadcast(like), ["lang", "length"]).join(fit, "_row", "left")  # as many rows as languages of the sample and lengths
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    part = lambda a: F.transform(a, lambda v: (v + 0.5) / (total(a) + 0.5 * len(KINDS)))
-    d = m.join(F.broadcast(mix), like).join(fit, "_row", "left")
-    d = d.withColumn("p", part(F.col("kinds"))).withColumn("q", part(F.array(*(F.col(f"q{i}") for i in range(len(KINDS))))))
-    d = d.withColumn("divergence", total(F.zip_with("p", "q", lambda a, b: a * F.log(a / b)))).select("_id", *like, "slope", "residual", "divergence", "share")
-    d = cut(d)
-    marks = ("slope", "residual", "divergence")
-    mid = _by_class(d.where(F.col("share") <= HALF), classes, [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"_{c}") for c in marks])
-    flagged = F.col("_divergence").isNull()
-    for c in marks:
-        far = F.abs(F.col(c) - F.col(f"_{c}")[1]) > EXTREME * F.greatest((F.col(f"_{c}")[2] - F.col(f"_{c}")[0]) / 2, F.lit(0.01))
-        flagged = flagged | F.coalesce(far, F.lit(False))
-    return d.where(F.col("share") > HALF).join(F.broadcast(mid), like).where(flagged).select(F.col("_id").alias(row_id))
+    d = d.withColumn("_p", F.transform("kinds", lambda v: (v + 0.5) / (total(F.col("kinds")) + 0.5 * len(KINDS))))
+    far = {c: F.abs(F.col(c) - F.col(f"_{c}")) for c in ("slope", "residual", "extent")}
+    far["divergence"] = total(F.zip_with("_p", "_mix", lambda a, b: a * F.log(a / b)))
+    return d.select("_id", "lang", "length", "share", *(v.alias(k) for k, v in far.items()))
+
+
+def extreme() -> Column:
+    """Whether a page of :func:`curves` is unlike prose in one of the four."""
+    out = F.lit(False)
+    for c, bound in EXTREME.items():
+        out = out | F.coalesce(F.col(c) > bound, F.lit(False))
+    return out
+
+
+def stuffed_pages(pages: DataFrame, row_id: str, text: str, lang: str) -> DataFrame:
+    """(``row_id``) of the pages most of whose characters are keywords, links or tags.
+
+    Null and empty texts are no spam; a language that is missing or not in the sample
+    counts by the script of the text; equal pages each count; an empty table gives none.
+    A page's verdict depends on nothing but the page.
+    """
+    return curves(pages, row_id, text, lang).where(extreme()).where(F.col("share") > HALF).select(F.col("_id").alias(row_id))
