@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from tidemark.llm import leakage as L
+from tidemark.llm import sieve
 from tidemark.llm.text import codes, gram_hashes
 
 D, I = "doc_id long, text string, lang string", "item_id long, text string, lang string"
@@ -37,8 +38,8 @@ def test_every_shared_run(spark):
     assert {(x["item_id"], x["doc_id"]) for x in got} == brute(items, docs)
 
 
-def test_in_blocks_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEM_BLOCK", 50)
+def test_whatever_the_bit_table_lets_pass_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(sieve, "BITS", 6)  # 64 bits let nearly all pass
     t = [f"passage number {i} with words of its own and a good length to be found again {i * 7919}" for i in range(3)]
     items, docs = spark.createDataFrame([(i, x, "en") for i, x in enumerate(t)], I), spark.createDataFrame([(9, " ".join(t), "x")], D)
     run = lambda a, b: sorted((x["item_id"], x["doc_id"]) for x in L.leaks(a, "doc_id", "text", b, "item_id", "text", "lang").collect())

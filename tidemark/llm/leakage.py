@@ -2,10 +2,11 @@
 
 Texts are compared by their letters and digits in lower case.  Of every window of
 consecutive k-gram hashes the smallest is kept, so two texts that share a run of
-window + k - 1 characters share a kept hash.  The fingerprints of the stated items
-are looked up while a document is read, each hit is extended to both sides on the
-spot, and runs of the required length are reported.  The corpus is read once and
-never shuffled; items are taken in blocks of bounded size, one such read per block.
+window + k - 1 characters share a kept hash inside the run.  The fingerprints of corpus
+and items, each with the characters around it that such a run could take in, are joined
+by hash, and every hit is extended on the spot.  Fingerprints no item has are left out
+before the join by a bit table of fixed size; neither texts nor items are shuffled,
+collected or broadcast, and the corpus is read once whatever the number of items.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tidemark.lineage import cut
+from tidemark.llm.sieve import passes, sieve
 from tidemark.llm.text import codes, gram_hashes
 from tidemark.session import spread
 
 #: Required run, and k-gram length, by language of the item; window = run - k + 1.
 RUNS = {"en": (50, 24), "zh": (20, 10)}
-#: Characters of items held by a task at a time.
-ITEM_BLOCK = 8_000_000
 
 _REST = re.compile(r"[\W_]+")
 
@@ -61,87 +64,62 @@ def winnow(c: np.ndarray, run: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     return i, h[i]
 
 
-class Items:
-    """Item texts with an index of their fingerprints."""
-
-    def __init__(self, ids: list, texts: list[str], run: int, k: int) -> None:
-        self.run, self.k, self.ids = run, k, ids
-        self.codes = [codes(t) for t in texts]
-        got = [winnow(c, run, k) for c in self.codes]
-        item = np.repeat(np.arange(len(ids)), [len(p) for p, _ in got])
-        pos = np.concatenate([p for p, _ in got]) if got else np.zeros(0, dtype=np.int64)
-        h = np.concatenate([x for _, x in got]) if got else np.zeros(0, dtype=np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.h, self.item, self.pos = h[order], item[order], pos[order]
-
-    def held_by(self, c: np.ndarray) -> set[int]:
-        """Items with which the text ``c`` shares a run of the required length."""
-        at, h = winnow(c, self.run, self.k)
-        lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-        found: set[int] = set()
-        seen: dict[tuple[int, int], int] = {}
-        for j in np.flatnonzero(hi > lo):
-            p = int(at[j])
-            for x in range(lo[j], hi[j]):
-                item, q = int(self.item[x]), int(self.pos[x])
-                if item in found or seen.get((item, p - q), -1) > p:
-                    continue
-                a, b = self.extend(c, p, self.codes[item], q)
-                seen[item, p - q] = b
-                if b - a >= self.run:
-                    found.add(item)
-        return found
-
-    def extend(self, c: np.ndarray, p: int, e: np.ndarray, q: int) -> tuple[int, int]:
-        """The run in ``c`` around place p that equals ``e`` around place q."""
-        n = min(len(c) - p, len(e) - q)
-        diff = np.flatnonzero(c[p : p + n] != e[q : q + n])
-        b = p + (int(diff[0]) if len(diff) else n)
-        n = min(p, q)
-        diff = np.flatnonzero(c[p - n : p] != e[q - n : q])
-        a = p - n + (int(diff[-1]) + 1 if len(diff) else 0)
-        return a, b
+def fingerprints(texts: DataFrame, runs: list[tuple[int, int]], table: Broadcast | None = None) -> DataFrame:
+    """(run, h, _id, around, at) of the kept k-grams of ``texts`` (_id, _t and, where each has its own, _run).
+
+    ``around`` holds the characters a run of the required length through the k-gram may
+    take in, ``at`` the place of the k-gram among them. Equal ones of a text come once.
+    """
+    kind = dict(texts.dtypes)["_id"]
+    own = "_run" in texts.columns
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            out: list[tuple] = []
+            for i, t, g in zip(p["_id"], p["_t"], p["_run"] if own else [None] * len(p), strict=True):
+                s = letters(t)
+                c = codes(s)
+                for run, k in runs:
+                    if g is not None and g != run:
+                        continue
+                    at, h = winnow(c, run, k)
+                    if table is not None:
+                        ok = passes(table.value, h)
+                        at, h = at[ok], h[ok]
+                    got = {(x, s[max(0, q - run + k) : q + run], min(q, run - k)) for q, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True)}
+                    out += [(run, x, i, a, q) for x, a, q in got]
+            yield pd.DataFrame(out, columns=["run", "h", "_id", "around", "at"])
+
+    return texts.mapInPandas(find, f"run int, h bigint, _id {kind}, around string, at int")
+
+
+def shared_run(a: str, p: int, b: str, q: int) -> int:
+    """Length of the run through place p of ``a`` that equals ``b`` around place q."""
+    n = 0
+    for x, y in zip(a[p:], b[q:], strict=False):
+        if x != y:
+            break
+        n += 1
+    for x, y in zip(reversed(a[:p]), reversed(b[:q]), strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, lang: str, runs: dict[str, tuple[int, int]] = RUNS) -> DataFrame:
     """(``item_id``, ``doc_id``) for every document that shares a long enough run with an item.
 
     Items in a language without a stated run take that of 'en'. Null texts hold
-    nothing, as do texts shorter than the run; equal documents and equal items each
-    count; an empty table on either side gives none.
+    nothing, as do texts shorter than the run; equal documents and equal items come
+    out by their ids, once each; an empty table on either side gives none.
     """
-    spark = docs.sparkSession
-    kinds = (dict(items.dtypes)[item_id], dict(docs.dtypes)[doc_id])
-    schema = f"item_id {kinds[0]}, doc_id {kinds[1]}"
-    out = None
-    block: list = []
-    size = 0
-
-    def search(block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(block)
-
-        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by: dict[tuple[int, int], list] = {}
-            for i, t, g in held.value:
-                by.setdefault(runs.get(g, runs["en"]), []).append((i, t))
-            sets = [Items([i for i, _ in v], [t for _, t in v], *k) for k, v in by.items()]
-            for p in batches:
-                rows = []
-                for d, t in zip(p["_d"], p["_t"], strict=True):
-                    c = codes(letters(t))
-                    for s in sets:
-                        rows += [(s.ids[x], d) for x in s.held_by(c)]
-                yield pd.DataFrame(rows, columns=["item_id", "doc_id"])
-
-        return spread(docs.select(docs[doc_id].alias("_d"), docs[text].alias("_t")).where(docs[text].isNotNull())).mapInPandas(find, schema)
-
-    for r in items.select(item_id, item_text, lang).where(items[item_text].isNotNull()).toLocalIterator():
-        t = letters(r[1])
-        block.append((r[0], t, r[2]))
-        size += len(t)
-        if size >= ITEM_BLOCK:
-            out = search(block) if out is None else out.unionByName(search(block))
-            block, size = [], 0
-    if block or out is None:
-        out = search(block) if out is None else out.unionByName(search(block))
-    return out.withColumnsRenamed({"item_id": item_id, "doc_id": doc_id})
+    lengths = sorted(set(runs.values()))
+    other = F.lit(runs["en"][0])
+    run = F.coalesce(*(F.when(F.col(lang) == g, F.lit(n)) for g, (n, _) in runs.items()), other)
+    held = items.select(F.col(item_id).alias("_id"), F.col(item_text).alias("_t"), run.alias("_run")).where("_t is not null")
+    held = cut(fingerprints(held, lengths).withColumnsRenamed({"_id": "_item", "around": "_a", "at": "_p"}))
+    texts = spread(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).where(F.col(text).isNotNull()))
+    met = fingerprints(texts, lengths, sieve(held.select("h"), "h")).join(held, ["run", "h"])
+    long = F.pandas_udf(lambda n, a, p, b, q: pd.Series([shared_run(*x) >= m for m, *x in zip(n, a, p, b, q, strict=True)], dtype=bool), "boolean")
+    return met.where(long("run", "around", "at", "_a", "_p")).select(F.col("_item").alias(item_id), F.col("_id").alias(doc_id)).distinct()
