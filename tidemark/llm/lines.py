@@ -1,13 +1,17 @@
 """Lines repeated across the documents of one source.
 
 Every content is cut into chunks by its own characters: a rolling hash over the
-last ``WINDOW`` characters ends a chunk, and so does the end of a line, which
-makes the chunks of a line the same wherever the line stands.  Documents are
-counted per (source, chunk).  A line that is excessive has only excessive
-chunks, so the chunks give all candidate lines; their own document counts
-decide.  Both counts are partial sums per (source, hash): a source with a third
-of all rows is spread over all tasks, and a line found in every row collapses
-before the shuffle.
+last ``WINDOW`` characters ends a chunk, and so does a line break, which makes the
+chunks of a line the same wherever the line stands; without that, a line shorter than
+a chunk would be cut together with its ever different neighbours and never repeat.
+Documents are counted per (source, chunk), and the chunks repeated excessively decide
+what is cut: a line goes if all its chunks do.  As two excessive chunks may also stand
+in a line that is rare as a whole, an exact count of such lines follows.
+
+All counts are partial sums per (source, hash) and all joins go by (source, hash) or
+(row, line), so a source with a third of all rows is spread over all tasks, and a line
+found in every row collapses before the shuffle.  No text is shuffled to be searched:
+the excessive chunks reach the second read as a bit table of fixed size.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.lineage import cut
-from tidemark.llm.text import codes, gram_hashes, line_form, prefix_hashes
+from tidemark.llm.sieve import passes, sieve
+from tidemark.llm.text import codes, gram_hashes, line_form, prefix_hashes, spread_bits
 from tidemark.session import spread
 
 WINDOW, MEAN_CHUNK = 16, 64
@@ -64,30 +69,36 @@ def _excessive(counts: DataFrame, totals: DataFrame, min_rows: int, min_percent:
     return counts.join(totals, "_src").where((F.col("n") >= min_rows) & (F.col("n") * 100 >= F.col("total") * min_percent))
 
 
-def repeated_lines(rows: DataFrame, row_id: str, text: str, source: str, min_rows: int = MIN_ROWS, min_percent: int = MIN_PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Excessive lines as (``row_id``, line_no), and per source the hashes of its excessive lines.
+def _own(h: np.ndarray, source: np.ndarray) -> np.ndarray:
+    """Hashes of chunks within their source."""
+    names, at = np.unique(source.astype(str), return_inverse=True)
+    salt = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in names], dtype=np.uint64)
+    return spread_bits(h.view(np.uint64) ^ salt[at])
 
-    Two lines are the same when their line forms are.  All rows of a source count
-    as its rows, also those without text; equal rows each count.  A null source is
-    a source of its own; null, empty and blank texts give no line; an empty table
-    gives empty results.  A source has at most 100 / min_percent excessive lines per
-    mean line of its rows: that bounds the arrays joined to the rows.
-    """
-    base = rows.select(F.col(row_id).alias("_id"), F.coalesce(F.col(source), F.lit("\0")).alias("_src"), F.col(text).alias("_t"))
-    totals = cut(base.groupBy("_src").agg(F.count("*").alias("total")))
-    texts = spread(base.where(F.col("_t").isNotNull()))
 
-    def count_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunk_counts(texts: DataFrame) -> DataFrame:
+    """(_src, h, n): rows of the source that hold the chunk."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             if p.empty:
                 continue
             doc, _, h = chunks([line_form(t) for t in p["_t"]])
             each = pd.DataFrame({"doc": doc, "h": h}).drop_duplicates()
             each["_src"] = p["_src"].to_numpy()[each["doc"].to_numpy()]
+            each["h"] = _own(each["h"].to_numpy(), each["_src"].to_numpy()).view(np.int64)
             yield each.groupby(["_src", "h"], sort=False).size().reset_index(name="n")
 
-    counts = texts.select("_src", "_t").mapInPandas(count_chunks, "_src string, h bigint, n bigint").groupBy("_src", "h").agg(F.sum("n").alias("n"))
-    common = cut(_excessive(counts, totals, min_rows, min_percent).groupBy("_src").agg(F.collect_list("h").alias("_common")))
+    return texts.select("_src", "_t").mapInPandas(count, "_src string, h bigint, n bigint").groupBy("_src", "h").agg(F.sum("n").alias("n"))
+
+
+def excessive_lines(rows: DataFrame, row_id: str, text: str, source: str, min_rows: int = MIN_ROWS, min_percent: int = MIN_PERCENT) -> DataFrame:
+    """(_id, _src, _th, line_no) of every excessive line; ``_th`` is a hash of the text it stands in."""
+    base = rows.select(F.col(row_id).alias("_id"), F.coalesce(F.col(source), F.lit("\0")).alias("_src"), F.col(text).alias("_t"))
+    totals = cut(base.groupBy("_src").agg(F.count("*").alias("total")))
+    texts = spread(base.where(F.col("_t").isNotNull()).withColumn("_th", F.xxhash64("_t")))
+    common = cut(_excessive(_chunk_counts(texts), totals, min_rows, min_percent).select("h"))
+    table = sieve(common, "h")
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
@@ -95,40 +106,43 @@ def repeated_lines(rows: DataFrame, row_id: str, text: str, source: str, min_row
             if not forms:
                 continue
             doc, line, h = chunks(forms)
-            ok = np.zeros(len(h), dtype=bool)
-            for src, i in pd.Series(range(len(p))).groupby(p["_src"].to_numpy()):
-                mine = np.isin(doc, i.to_numpy())
-                ok[mine] = np.isin(h[mine], np.asarray(p["_common"].iloc[i.iloc[0]], dtype=np.int64))
+            ok = passes(table.value, _own(h, p["_src"].to_numpy()[doc]))
             each = pd.DataFrame({"doc": doc, "line_no": line, "ok": ok}).groupby(["doc", "line_no"], sort=False)["ok"].all()
             each = each[each].reset_index()
             lines = [f.split("\n") for f in forms]
-            out = pd.DataFrame({"_id": p["_id"].to_numpy()[each["doc"]], "_src": p["_src"].to_numpy()[each["doc"]], "line_no": each["line_no"]})
+            at = each["doc"].to_numpy()
+            out = pd.DataFrame({"_id": p["_id"].to_numpy()[at], "_src": p["_src"].to_numpy()[at], "_th": p["_th"].to_numpy()[at], "line_no": each["line_no"]})
             out["lh"] = [xxhash.xxh3_128_digest(lines[d][n - 1].encode("utf-8", "surrogatepass")) for d, n in zip(each["doc"], each["line_no"], strict=True)]
             out["first"] = (~each.assign(lh=out["lh"]).duplicated(["doc", "lh"])).astype("int32")
             yield out
 
     kind = dict(base.dtypes)["_id"]
-    found = cut(texts.join(common, "_src").select("_id", "_src", "_t", "_common").mapInPandas(candidates, f"_id {kind}, _src string, line_no bigint, lh binary, first int"))
+    found = cut(texts.mapInPandas(candidates, f"_id {kind}, _src string, _th bigint, line_no bigint, lh binary, first int"))
     line_counts = found.groupBy("_src", "lh").agg(F.sum("first").alias("n"))
     excess = cut(_excessive(line_counts, totals, min_rows, min_percent).select("_src", "lh"))
-    per_row = found.join(excess, ["_src", "lh"], "left_semi").select(F.col("_id").alias(row_id), "line_no")
-    return per_row, excess.groupBy("_src").agg(F.collect_list("lh").alias("_excess"))
+    return found.join(excess, ["_src", "lh"], "left_semi").select("_id", "_src", "_th", "line_no")
+
+
+def repeated_lines(rows: DataFrame, row_id: str, text: str, source: str, min_rows: int = MIN_ROWS, min_percent: int = MIN_PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Excessive lines as (``row_id``, line_no), and the same with the source and a hash of the text.
+
+    Two lines are the same when their line forms are.  All rows of a source count
+    as its rows, also those without text; equal rows each count.  A null source is
+    a source of its own; null, empty and blank texts give no line; an empty table
+    gives empty results.
+    """
+    found = excessive_lines(rows, row_id, text, source, min_rows, min_percent)
+    return found.select(F.col("_id").alias(row_id), "line_no"), found
 
 
 def without_repeated_lines(rows: DataFrame, row_id: str, text: str, source: str, min_rows: int = MIN_ROWS, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """(``row_id``, ``text``): each text without its source's excessive lines; null stays null."""
-    excess = cut(repeated_lines(rows, row_id, text, source, min_rows, min_percent)[1])
-    base = rows.select(F.col(row_id), F.coalesce(F.col(source), F.lit("\0")).alias("_src"), F.col(text))
+    """(``row_id``, ``text``): each text without its source's excessive lines; null stays null.
 
-    def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            out = []
-            for t, bad in zip(p[text], p["_excess"], strict=True):
-                if t is not None and bad is not None:
-                    gone, forms = set(map(bytes, bad)), line_form(t).split("\n")
-                    t = "\n".join(x for x, f in zip(t.split("\n"), forms, strict=True) if xxhash.xxh3_128_digest(f.encode("utf-8", "surrogatepass")) not in gone)
-                out.append(t)
-            yield pd.DataFrame({row_id: p[row_id], text: out})
-
-    kinds = dict(rows.dtypes)
-    return base.join(excess, "_src", "left").select(row_id, text, "_excess").mapInPandas(strip, f"`{row_id}` {kinds[row_id]}, `{text}` string")
+    What is to be cut meets its row by id, source and text, which no group of rows has in common but copies.
+    """
+    found = repeated_lines(rows, row_id, text, source, min_rows, min_percent)[1]
+    gone = found.groupBy("_id", "_src", "_th").agg(F.collect_set("line_no").alias("_gone"))
+    base = rows.select(F.col(row_id).alias("_id"), F.coalesce(F.col(source), F.lit("\0")).alias("_src"), F.col(text).alias("_t")).withColumn("_th", F.xxhash64("_t"))
+    kept = F.array_join(F.filter(F.split("_t", "\n", -1), lambda x, i: ~F.array_contains("_gone", (i + 1).cast("bigint"))), "\n")
+    out = base.join(gone, ["_id", "_src", "_th"], "left").select("_id", F.when(F.col("_gone").isNull(), F.col("_t")).otherwise(kept).alias("_t"))
+    return out.select(F.col("_id").alias(row_id), F.col("_t").alias(text))
