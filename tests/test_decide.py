@@ -30,3 +30,17 @@ def test_bootstrap_covers_the_mean(spark):
     df = spark.createDataFrame([("k", float(i % 10)) for i in range(500)], "k string, x double")
     r = E.bootstrap_mean(df, ["k"], "x", 400).first()
     assert r["low"] < 4.5 < r["high"] and r["high"] - r["low"] < 1
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([("a", i, (i * 7919 % 101 - 45) / 50) for i in range(400)], "k string, i long, x double")
+    got = [E.bootstrap_mean(df.repartition(n), ["k"], "x", 300, row_id=["i"]).first() for n in (1, 5)]
+    assert all(abs(got[0][c] - got[1][c]) < 1e-9 for c in ("low", "high", "p_one_sided"))
+    assert got[0]["low"] < sum((i * 7919 % 101 - 45) / 50 for i in range(400)) / 400 < got[0]["high"]
+
+
+def test_draws_are_poisson():
+    import numpy as np
+
+    n = E.poisson_draw(np.arange(200_000, dtype=np.uint64), 3)
+    assert abs(n.mean() - 1) < 0.01 and abs(n.var() - 1) < 0.02 and abs((n == 0).mean() - 0.3679) < 0.005

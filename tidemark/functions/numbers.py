@@ -13,7 +13,8 @@ from tidemark.functions.text import c, let
 
 
 def clip(x: Column | str, low: float, high: float) -> Column:
-    return F.least(F.greatest(c(x), F.lit(float(low))), F.lit(float(high)))
+    """Null stays null."""
+    return F.when(c(x).isNotNull(), F.least(F.greatest(c(x), F.lit(float(low))), F.lit(float(high))))
 
 
 def sigmoid(x: Column | str, bound: float | None = None) -> Column:

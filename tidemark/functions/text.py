@@ -83,12 +83,17 @@ def unique_terms(terms: list[object]) -> list[str]:
 
 
 def shingles(x: Column | str, n: int = 3, most: int | None = None) -> Column:
-    """Distinct runs of n characters of the letters and digits, of the first ``most`` of these if given; a shorter text is its own shingle."""
+    """Distinct runs of n characters of the letters and digits, of the first ``most`` of these if given; a shorter text is its own shingle.
+
+    Links and dates are left out first.
+    """
     def grams(p: Column) -> Column:
         own = F.transform(F.sequence(F.lit(1), F.size(p) - (n - 1)), lambda i: F.array_join(F.slice(p, i, n), ""))
         return F.when(F.size(p) >= n, F.array_distinct(own)).when(F.size(p) > 0, F.array(F.array_join(p, ""))).otherwise(F.array().cast("array<string>"))
 
-    s = F.regexp_replace(F.lower(c(x)), r"[^\p{L}\p{N}_]+", "")
+    s = F.lower(c(x))
+    for pattern, by in FINGERPRINT[:3]:
+        s = F.regexp_replace(s, pattern, by)
     return let(F.regexp_extract_all(s if most is None else F.substring(s, 1, most), F.lit("(?s)(.)"), F.lit(1)), grams)
 
 

@@ -36,7 +36,7 @@ def point_calibration(df: DataFrame, keys: list[str], actual: str, pred: str, sc
     g = df.join(ols, keys).select(*keys, actual, pred, F.explode(F.array(*(F.struct(F.lit(f"shrink_{s:g}").alias("name"), F.lit(s).alias("scale"), F.lit(None).cast("double").alias("fixed")) for s in scales), F.struct(F.lit("identity").alias("name"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("fixed")), F.struct(F.lit("linear").alias("name"), F.col("_s").alias("scale"), F.col("_i").alias("fixed")))).alias("g")).select(*keys, actual, pred, "g.*")
     med = g.groupBy(*keys, "name", "scale", "fixed").agg(F.percentile(F.col(actual) - F.col("scale") * F.col(pred), 0.5).alias("_m")).withColumn("intercept", F.coalesce("fixed", "_m")).drop("_m", "fixed")
     err = g.select(*keys, actual, pred, "name").join(med, [*keys, "name"]).groupBy(*keys, "name", "scale", "intercept").agg(F.avg(F.abs(F.col("scale") * F.col(pred) + F.col("intercept") - F.col(actual))).alias("mae"))
-    return err.groupBy(*keys).agg(F.min(F.struct(F.round("mae", 12).alias("mae"), "name", "scale", "intercept")).alias("b")).select(*keys, "b.name", "b.scale", "b.intercept", "b.mae")
+    return err.groupBy(*keys).agg(F.min(F.struct(F.round("mae", 9).alias("mae"), "name", "scale", "intercept")).alias("b")).select(*keys, "b.name", "b.scale", "b.intercept", "b.mae")
 
 
 def direction_threshold(df: DataFrame, keys: list[str], up: str, signals: list[str], quantiles: int = 33) -> DataFrame:
@@ -45,9 +45,10 @@ def direction_threshold(df: DataFrame, keys: list[str], up: str, signals: list[s
     long = long.select(*keys, up, "source", F.explode(F.array(F.lit(1.0), F.lit(-1.0))).alias("polarity"), "value").withColumn("value", F.col("value") * F.col("polarity"))
     qs = [0.02 + 0.96 * i / (quantiles - 1) for i in range(quantiles)]
     grid = long.groupBy(*keys, "source", "polarity").agg(F.array_distinct(F.percentile("value", qs)).alias("t"))
-    # Accuracy of all thresholds of a signal in one pass over its rows: a row adds to one array of counts.
-    one = long.join(grid, [*keys, "source", "polarity"]).select(*keys, "source", "polarity", F.explode("t").alias("threshold"), ((F.col("value") >= F.col("threshold")) == F.col(up)).cast("int").alias("_ok"))
-    acc = one.groupBy(*keys, "source", "polarity", "threshold").agg(F.avg("_ok").alias("accuracy"))
+    # Accuracy of all thresholds of a signal in one pass over its rows: a row adds to as many partial means, and is not multiplied.
+    right = [F.struct(F.get(F.any_value("t"), F.lit(i)).alias("threshold"), F.avg(((F.col("value") >= F.get("t", F.lit(i))) == F.col(up)).cast("int")).alias("accuracy")) for i in range(quantiles)]
+    acc = long.join(grid, [*keys, "source", "polarity"]).groupBy(*keys, "source", "polarity").agg(F.array(*right).alias("a"))
+    acc = acc.select(*keys, "source", "polarity", F.explode("a").alias("a")).select(*keys, "source", "polarity", "a.*").where("threshold is not null")
     return acc.groupBy(*keys).agg(F.min(F.struct((-F.round("accuracy", 12)).alias("a"), "source", (-F.col("polarity")).alias("p"), "threshold")).alias("b")).select(*keys, "b.source", (-F.col("b.p")).alias("polarity"), "b.threshold", (-F.col("b.a")).alias("accuracy"))
 
 

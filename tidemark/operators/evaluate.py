@@ -14,6 +14,10 @@ from tidemark.functions import numbers as N
 from tidemark.operators.sequence import by as ordered
 
 
+#: Distribution of Poisson(1) up to where a double knows no more.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
 def regression(actual: str = "actual", pred: str = "pred") -> dict[str, Column]:
     """MAE, RMSE, MAPE, R2 and RMSE over the deviation of the actual values."""
     e, a = F.col(pred) - F.col(actual), F.col(actual)
@@ -93,28 +97,39 @@ def mean_t(x: Column | str) -> Column:
     return F.when(F.count(x) >= 2, N.safe_divide(F.avg(x), F.stddev_samp(x) / F.sqrt(F.count(x)))).otherwise(0.0)
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+def poisson_draw(row: np.ndarray, draw: int) -> np.ndarray:
+    """How often each row counts in a draw: Poisson(1), from a hash of the row and the draw alone."""
+    with np.errstate(over="ignore"):
+        h = row + np.uint64(draw) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
+    return np.searchsorted(POISSON, u, side="right").astype(float)
+
+
+def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000, alpha: float = 0.05, seed: int = 42, row_id: list[str] | None = None) -> DataFrame:
     """Percentile interval of the mean and the share of resampled means at or below 0.
 
     Poisson bootstrap: every row counts Poisson(1) times in every draw, drawn from a
-    hash of the row and the draw. Partial sums of the draws are all that is
-    shuffled, so a group of any size needs no single task.
+    hash of the row and the draw, whatever the partition it lies in; without ``row_id`` a
+    row goes by its place. Partial
+    sums of the draws are all that is shuffled, so a group of any size needs no single task.
     """
     kinds = dict(df.dtypes)
 
     def sums(batches):
-        rng = np.random.default_rng(seed)
         for p in batches:
-            p = p[p[value].notna()]
             if p.empty:
                 continue
             for key, g in p.groupby(keys, sort=False, dropna=False):
-                x = g[value].to_numpy(dtype=float)
-                local = np.random.default_rng([seed, int(pd.util.hash_array(x).sum() % (2**63))]) if len(x) else rng
-                c = local.poisson(1.0, (draws, len(x)))
-                yield pd.DataFrame({k: [v] for k, v in zip(keys, key if isinstance(key, tuple) else (key,), strict=True)} | {"s": [c @ x], "c": [c.sum(axis=1).astype(float)]})
-
-    part = df.select(*keys, value).mapInPandas(sums, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", s array<double>, c array<double>")
+                x, row = g[value].to_numpy(dtype=float), g["_row"].to_numpy(dtype=np.int64).view(np.uint64)
+                s, n = np.zeros(draws), np.zeros(draws)
+                for k in range(draws):
+                    c = poisson_draw(row, seed + k)
+                    s[k], n[k] = c @ x, c.sum()
+                yield pd.DataFrame({k: [v] for k, v in zip(keys, key if isinstance(key, tuple) else (key,), strict=True)} | {"s": [s], "c": [n]})
+
+    part = df.where(F.col(value).isNotNull()).select(*keys, (F.xxhash64(*row_id) if row_id else F.monotonically_increasing_id()).alias("_row"), value).mapInPandas(sums, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", s array<double>, c array<double>")
     long = part.select(*keys, F.posexplode(F.arrays_zip("s", "c")).alias("draw", "x")).groupBy(*keys, "draw").agg((F.sum("x.s") / F.nullif(F.sum("x.c"), F.lit(0.0))).alias("m"))
     return long.groupBy(*keys).agg(F.percentile("m", alpha / 2).alias("low"), F.percentile("m", 1 - alpha / 2).alias("high"), F.avg((F.col("m") <= 0).cast("int")).alias("p_one_sided"))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,36 +56,39 @@ def percent_rank(x: Column | str, part: list[str]) -> Column:
     return F.when(c(x).isNotNull(), r / F.count(c(x)).over(w))
 
 
-def ewm(df: DataFrame, keys: list[str], order: str, value: str, halflife: float, out: str) -> DataFrame:
-    """Exponentially weighted mean with the weight of the last value 1 - 0.5^(1/halflife).
+def _per_series(df: DataFrame, keys: list[str], order: str, out: str, f: Callable[[pd.DataFrame], np.ndarray], *values: str) -> DataFrame:
+    """(keys, order, ``out``) with ``f`` of each entity's rows in order; an entity holds at most one row per time."""
+    kinds = dict(df.dtypes)
+
+    def one(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order, kind="stable").reset_index(drop=True)
+        r = p[[*keys, order]].copy()
+        r[out] = f(p)
+        return r
 
-    The recursion is a weighted sum: with a = 0.5^(1/halflife), the mean of row i is
-    a^i x0 + (1 - a) sum_j a^(i-j) x_j. It is folded once per entity, over values only.
-    """
-    a = 0.5 ** (1 / halflife)
-    s = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))))
-    folded = F.aggregate(
-        F.col("_s"),
-        F.array().cast("array<struct<o:%s,m:double>>" % dict(df.dtypes)[order]),
-        lambda acc, v: F.concat(acc, F.array(F.struct(v["o"].alias("o"), (F.lit(1 - a) * v["x"] + F.lit(a) * F.coalesce(F.try_element_at(acc, F.lit(-1))["m"], v["x"])).alias("m")))),
-    )
-    return df.groupBy(*keys).agg(s.alias("_s")).select(*keys, F.explode(folded).alias("e")).select(*keys, F.col("e.o").alias(order), F.col("e.m").alias(out))
+    return df.select(*keys, order, *values).groupBy(*keys).applyInPandas(one, ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, order)) + f", `{out}` double")
+
+
+def ewm(df: DataFrame, keys: list[str], order: str, value: str, halflife: float, out: str) -> DataFrame:
+    """Exponentially weighted mean with the weight of the last value 1 - 0.5^(1/halflife), in one pass per entity."""
+    return _per_series(df, keys, order, out, lambda p: p[value].astype(float).ewm(halflife=halflife, adjust=False).mean().to_numpy(), value)
 
 
 def positions(df: DataFrame, keys: list[str], order: str, desired: str, move: str, most: float, turnover: float, limit: float) -> DataFrame:
-    """Positions under a cap on size and turnover, unmoved on days the series moves by more than ``limit``."""
-    kind = dict(df.dtypes)[order]
-    s = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(desired).cast("double").alias("d"), F.col(move).cast("double").alias("m"))))
-
-    def step(acc: Column, v: Column) -> Column:
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1))["p"], F.lit(0.0))
-        want = F.least(F.greatest(v["d"], F.lit(0.0)), F.lit(most))
-        delta = F.least(F.greatest(want - before, F.lit(-turnover)), F.lit(turnover))
-        held = ((v["m"] >= limit) & (delta > 0)) | ((v["m"] <= -limit) & (delta < 0))
-        return F.concat(acc, F.array(F.struct(v["o"].alias("o"), F.when(held, before).otherwise(before + delta).alias("p"))))
-
-    folded = F.aggregate(F.col("_s"), F.array().cast(f"array<struct<o:{kind},p:double>>"), step)
-    return df.groupBy(*keys).agg(s.alias("_s")).select(*keys, F.explode(folded).alias("e")).select(*keys, F.col("e.o").alias(order), F.col("e.p").alias("position"))
+    """Positions under a cap on size and turnover, unmoved on days the series moves by more than ``limit``; null asks for 0."""
+
+    def fold(p: pd.DataFrame) -> np.ndarray:
+        held, out = 0.0, np.zeros(len(p))
+        want = np.clip(np.nan_to_num(p[desired].to_numpy(dtype=float)), 0.0, most)
+        moves = p[move].to_numpy(dtype=float)
+        for i, (w, m) in enumerate(zip(want, moves, strict=True)):
+            delta = min(max(w - held, -turnover), turnover)
+            if not (m >= limit and delta > 0 or m <= -limit and delta < 0):
+                held += delta
+            out[i] = held
+        return out
+
+    return _per_series(df, keys, order, "position", fold, desired, move)
 
 
 def drawdown(df: DataFrame, keys: list[str], order: str, ret: str) -> DataFrame:

@@ -31,6 +31,9 @@ TEXT = ["text_count", "text_score", "text_notice_ratio"]
 CALENDAR = ["known_dow_sin", "known_dow_cos", "known_month_sin", "known_month_cos"]
 GROUPS = {"price": PRICE, "report": REPORT, "macro": MACRO, "text": TEXT, "calendar": CALENDAR}
 
+#: Rows a JSON report may have.
+REPORT = 100_000
+
 
 @dataclass
 class Prepared:
@@ -140,7 +143,7 @@ class Pipeline:
         """Mean and population deviation of the mean error over resampled days."""
         e = predictions.select(F.abs(F.col("pred") - F.col("actual")).alias("e"), F.explode(F.array(*map(F.lit, seeds))).alias("seed"), "symbol", "date")
         u = (F.xxhash64("symbol", "date", "seed").bitwiseAND(F.lit(2**52 - 1)) / F.lit(2.0**52))
-        weight = F.when(u < 0.3679, 0).when(u < 0.7358, 1).when(u < 0.9197, 2).when(u < 0.9810, 3).otherwise(4)
+        weight = F.size(F.filter(F.array(*(F.lit(float(x)) for x in evaluate.POISSON)), lambda x: u >= x))
         runs = e.groupBy("seed").agg((F.sum(F.col("e") * weight) / F.sum(weight)).alias("mae"))
         return runs.agg(F.avg("mae").alias("mean"), F.stddev_pop("mae").alias("std"), F.count("*").alias("n"))
 
@@ -150,4 +153,8 @@ class Pipeline:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
     def summary(self, df: DataFrame) -> str:
-        return json.dumps([r.asDict(True) for r in df.limit(1000).collect()], default=str, ensure_ascii=False)
+        """A report as JSON; one of more than ``REPORT`` rows is no report and is refused, not cut."""
+        got = df.limit(REPORT + 1).collect()
+        if len(got) > REPORT:
+            raise ValueError(f"more than {REPORT} rows; save them as a table")
+        return json.dumps([r.asDict(True) for r in got], default=str, ensure_ascii=False)

@@ -79,17 +79,17 @@ def evl03_probabilistic(spark, d):
 
 @register("evl04_strategy", """WITH p AS (SELECT symbol, date, prob AS pos, prob * actual AS r FROM preds), c AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY symbol ORDER BY date)) AS e, abs(pos - lag(pos, 1, 0.0) OVER (PARTITION BY symbol ORDER BY date)) AS t FROM p),
     m AS (SELECT *, e / greatest(1.0, max(e) OVER (PARTITION BY symbol ORDER BY date)) - 1 AS dd FROM c)
-    SELECT symbol, round(exp(sum(ln(1 + r))) - 1, 6) + 0.0 AS cumulative, round(coalesce(avg(r) / nullif(stddev_pop(r), 0), 0) * sqrt(252), 5) + 0.0 AS sharpe, round(min(dd), 6) + 0.0 AS max_drawdown, round(avg((r > 0)::INT), 6) AS win_rate, round(avg((pos > 0)::INT), 6) AS exposure, round(avg(t), 6) AS turnover FROM m GROUP BY symbol""")
+    SELECT symbol, round(exp(sum(ln(1 + r))) - 1, 6) + 0.0 AS cumulative, round(pow(exp(sum(ln(1 + r))), 252.0 / count(*)) - 1, 4) + 0.0 AS annualised, round(coalesce(avg(r) / nullif(stddev_pop(r), 0), 0) * sqrt(252), 5) + 0.0 AS sharpe, round(min(dd), 6) + 0.0 AS max_drawdown, round(avg((r > 0)::INT), 6) AS win_rate, round(avg((pos > 0)::INT), 6) AS exposure, round(avg(t), 6) AS turnover FROM m GROUP BY symbol""")
 def evl04_strategy(spark, d):
     p = R.preds(spark, d).select("symbol", "date", F.col("prob").alias("pos"), (F.col("prob") * F.col("actual")).alias("r"))
     s = E.strategy(p, K, "date", "r", "pos")
-    return s.select("symbol", *((F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("cumulative", 6), ("sharpe", 5), ("max_drawdown", 6), ("win_rate", 6), ("exposure", 6), ("turnover", 6))))
+    return s.select("symbol", *((F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("cumulative", 6), ("annualised", 4), ("sharpe", 5), ("max_drawdown", 6), ("win_rate", 6), ("exposure", 6), ("turnover", 6))))
 
 
 @register("evl05_information", """WITH r AS (SELECT symbol, actual, pred, rank() OVER (PARTITION BY symbol ORDER BY actual) + (count(*) OVER (PARTITION BY symbol, actual) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY symbol ORDER BY pred) + (count(*) OVER (PARTITION BY symbol, pred) - 1) / 2.0 AS rp FROM preds)
-    SELECT symbol, round(coalesce(corr(actual, pred), 0), 6) + 0.0 AS ic, round(coalesce(corr(ra, rp), 0), 6) + 0.0 AS rank_ic FROM r GROUP BY symbol""")
+    SELECT symbol, round(coalesce(corr(actual, pred), 0), 6) + 0.0 AS ic, round(coalesce(corr(ra, rp), 0), 6) + 0.0 AS rank_ic, round(coalesce(coalesce(corr(actual, pred), 0) / nullif(stddev_pop(pred - actual), 0), 0), 4) + 0.0 AS icir FROM r GROUP BY symbol""")
 def evl05_information(spark, d):
-    return E.information_coefficients(R.preds(spark, d), K).select("symbol", (F.round("ic", 6) + F.lit(0.0)).alias("ic"), (F.round("rank_ic", 6) + F.lit(0.0)).alias("rank_ic"))
+    return E.information_coefficients(R.preds(spark, d), K).select("symbol", (F.round("ic", 6) + F.lit(0.0)).alias("ic"), (F.round("rank_ic", 6) + F.lit(0.0)).alias("rank_ic"), (F.round("icir", 4) + F.lit(0.0)).alias("icir"))
 
 
 @register("evl06_horizons", "SELECT symbol, h, round(avg(abs(pred - f)), 6) AS mae, round(avg(((pred >= 0) = (f > 0))::INT), 6) AS direction FROM (SELECT symbol, ret AS pred, 1 AS h, lead(close, 1) OVER w / close - 1 AS f FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY date) UNION ALL SELECT symbol, ret, 5, lead(close, 5) OVER w / close - 1 FROM rets WINDOW w AS (PARTITION BY symbol ORDER BY date)) WHERE pred IS NOT NULL AND f IS NOT NULL GROUP BY ALL")
@@ -114,7 +114,7 @@ def evl07_diebold_mariano(spark, d):
 
 @register("evl08_bootstrap")
 def evl08_bootstrap(spark, d):
-    return E.bootstrap_mean(R.preds(spark, d).select("symbol", "actual"), K, "actual", 500)
+    return E.bootstrap_mean(R.preds(spark, d).select("symbol", "date", "actual"), K, "actual", 500, row_id=["symbol", "date"])
 
 
 @register("evl09_mean_t", "SELECT symbol, round(CASE WHEN count(actual) >= 2 THEN coalesce(avg(actual) / nullif(stddev_samp(actual) / sqrt(count(actual)), 0), 0) ELSE 0 END, 5) + 0.0 AS t FROM preds GROUP BY symbol")
@@ -179,10 +179,10 @@ def dec03_best_source(spark, d):
 @register("dec04_point_calibration", """WITH s AS (SELECT 'shrink_' || x AS name, y AS scale FROM (VALUES ('0', 0.0), ('0.25', 0.25), ('0.5', 0.5), ('0.75', 0.75), ('1', 1.0), ('1.25', 1.25)) AS v(x, y)),
     c AS (SELECT symbol, name, scale::DOUBLE AS scale, quantile_cont(actual - scale * pred, 0.5) AS icept FROM preds, s GROUP BY ALL UNION ALL SELECT DISTINCT symbol, 'identity', 1.0, 0.0 FROM preds
           UNION ALL SELECT symbol, 'linear', least(greatest(regr_slope(actual, pred), -2), 2), regr_intercept(actual, pred) FROM preds GROUP BY symbol),
-    e AS (SELECT c.symbol, name, round(avg(abs(scale * pred + icept - actual)), 9) AS mae FROM c JOIN preds ON c.symbol = preds.symbol GROUP BY ALL)
-    SELECT symbol, min(mae) AS mae FROM e GROUP BY symbol""")
+    e AS (SELECT c.symbol, name, any_value(scale) AS scale, any_value(icept) AS icept, round(avg(abs(scale * pred + icept - actual)), 9) AS mae FROM c JOIN preds ON c.symbol = preds.symbol GROUP BY c.symbol, name)
+    SELECT symbol, arg_min(name, (mae, name)) AS name, round(arg_min(scale, (mae, name)), 6) + 0.0 AS scale, round(arg_min(icept, (mae, name)), 7) + 0.0 AS intercept, min(mae) AS mae FROM e GROUP BY symbol""")
 def dec04_point_calibration(spark, d):
-    return D.point_calibration(R.preds(spark, d), K, "actual", "pred").select("symbol", F.round("mae", 9).alias("mae"))
+    return D.point_calibration(R.preds(spark, d), K, "actual", "pred").select("symbol", "name", (F.round("scale", 6) + F.lit(0.0)).alias("scale"), (F.round("intercept", 7) + F.lit(0.0)).alias("intercept"), F.round("mae", 9).alias("mae"))
 
 
 @register("dec05_direction_threshold", """WITH g AS (SELECT symbol, source, p, actual > 0 AS up, v * p AS v FROM (SELECT symbol, actual, 'pred' AS source, pred AS v FROM preds UNION ALL SELECT symbol, actual, 'prob', prob FROM preds), (VALUES (1.0), (-1.0)) AS x(p)),

@@ -40,7 +40,7 @@ for _p, _b in ((r"https?://\S+|www\.\S+", " "), (r"\d{1,4}[年./-]\d{1,2}([月./
 _FP = f"substr(regexp_replace({_FP}, '(快讯|新闻|公告|研报|研究报告|点评|点评报告|摘要)$', ''), 1, 96)"
 _KEY = "regexp_replace(regexp_replace(lower(trim(coalesce(url, ''))), '[?#].*$', ''), '/+$', '')"
 _BLOB = rf"trim(regexp_replace(concat_ws(' ', trim(coalesce(title, '')), trim(coalesce(text, '')), trim(coalesce(text_type, ''))), '\s+', ' ', 'g'))"
-_GRAMS = r"(SELECT CASE WHEN length(s) >= 3 THEN list_distinct([substr(s, i, 3) FOR i IN range(1, length(s) - 1)]) WHEN length(s) > 0 THEN [s] ELSE []::VARCHAR[] END FROM (SELECT substr(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_]+', '', 'g'), 1, 600) AS s))"
+_GRAMS = r"(SELECT CASE WHEN length(s) >= 3 THEN list_distinct([substr(s, i, 3) FOR i IN range(1, length(s) - 1)]) WHEN length(s) > 0 THEN [s] ELSE []::VARCHAR[] END FROM (SELECT substr(regexp_replace(regexp_replace(regexp_replace(lower({0}), 'https?://\S+|www\.\S+', ' ', 'g'), '\d{{1,4}}[年./-]\d{{1,2}}([月./-]\d{{1,2}}日?)?', ' ', 'g'), '[^\p{{L}}\p{{N}}_]+', '', 'g'), 1, 600) AS s))"
 _CASE = lambda x, rules, other: "CASE " + " ".join(f"WHEN regexp_matches({x}, '{p}') THEN '{n}'" for n, p in rules) + f" ELSE '{other}' END"
 
 _scalar("str01_blob", "documents", "doc_id", {"blob": (lambda: T.blob("title", "text", "text_type"), _BLOB)})
@@ -54,7 +54,8 @@ _scalar("str08_strip_publisher", "news", "news_id", {"t": (lambda: T.strip_publi
 _scalar("str09_prefix_title", "documents", "doc_id", {"t": (lambda: F.substring("text", 1, 60), "substr(text, 1, 60)")})
 _scalar("str10_content_id", "documents", "doc_id", {"uid": (lambda: T.content_id("date", "text_type", "source", "url", "title"), "sha1(concat_ws('|', coalesce(date::VARCHAR, ''), trim(coalesce(text_type, '')), trim(coalesce(source, '')), trim(coalesce(url, '')), trim(coalesce(title, ''))))")})
 _scalar("str11_cache_key", "documents", "doc_id", {"k": (lambda: F.sha2(F.trim("url"), 256), "sha256(trim(url))")})
-_scalar("str13_shingles", "documents", "doc_id", {"n": (lambda: F.size(T.shingles("text", most=600)).cast("bigint"), f"len({_GRAMS.format('text')})")})
+_scalar("str13_shingles", "documents", "doc_id", {"n": (lambda: F.size(T.shingles("text", most=600)).cast("bigint"), f"len({_GRAMS.format('text')})"),
+    "m": (lambda: F.md5(F.array_join(F.array_sort(T.shingles("text", most=600)), "|")), f"md5(array_to_string(list_sort({_GRAMS.format('text')}), '|'))")})
 _scalar("str14_jaccard", "documents", "doc_id", {"j": (lambda: F.round(T.jaccard(T.shingles("title", most=600), T.shingles(F.substring("text", 1, 100), most=600)), 9),
     f"round(len(list_intersect({_GRAMS.format('title')}, {_GRAMS.format('substr(text, 1, 100)')})) / greatest(len(list_distinct(list_concat({_GRAMS.format('title')}, {_GRAMS.format('substr(text, 1, 100)')}))), 1), 9)")})
 define("str13_shingles_whole", lambda spark, d: spread(load(spark, d, "documents")).select("doc_id", F.size(T.shingles("text")).cast("bigint").alias("n")))
@@ -107,17 +108,17 @@ _scalar("dat10_calendar_features", "stock", "stock_id", {k: ((lambda k=k: F.roun
 _scalar("dat12_disclosure_fallback", "financial", "fin_id", {"d": (lambda: F.coalesce("disclosure_date", F.date_add("date", 90)), "coalesce(disclosure_date, date + 90)")})
 _scalar("dat13_lagged_availability", "documents", "doc_id", {"d": (lambda: D.add_business_days("date", 1), _ADD(1))})
 _scalar("dat14_format", "documents", "doc_id", {"s": (lambda: F.date_format("date", "yyyyMMdd"), "strftime(date, '%Y%m%d')")})
-_scalar("mth01_clip", "stock", "stock_id", {"x": (lambda: N.clip("pct_change", -5, 5), "CASE WHEN pct_change IS NULL THEN -5 ELSE greatest(-5, least(5, pct_change)) END::DOUBLE")})
-_scalar("mth02_sigmoid", "stock", "stock_id", {"x": (lambda: F.round(N.sigmoid(F.coalesce("pct_change", F.lit(0.0)), 12), 9), "round(1 / (1 + exp(-greatest(-12, least(12, coalesce(pct_change, 0))))), 9)")})
+_scalar("mth01_clip", "stock", "stock_id", {"x": (lambda: N.clip("pct_change", -5, 5), "CASE WHEN pct_change IS NOT NULL THEN greatest(-5, least(5, pct_change)) END::DOUBLE")})
+_scalar("mth02_sigmoid", "stock", "stock_id", {"x": (lambda: F.round(N.sigmoid("pct_change", 12), 9), "CASE WHEN pct_change IS NOT NULL THEN round(1 / (1 + exp(-greatest(-12, least(12, pct_change)))), 9) END")})
 _scalar("mth04_safe_divide", "stock", "stock_id", {"x": (lambda: F.round(N.safe_divide("amount", "volume"), 6), "round(coalesce(amount / nullif(volume, 0), 0), 6)")})
 _scalar("mth05_entropy", "embeddings", "vec_id", {"h": (lambda: F.round(N.entropy(N.softmax("embedding")), 6), "(SELECT round(-sum(p * ln(p)), 6) FROM (SELECT exp(v) / sum(exp(v)) OVER () AS p FROM (SELECT unnest(embedding)::DOUBLE AS v)))")})
 _scalar("arr01_masked_mean", "embeddings", "vec_id", {"m": (lambda: F.round(N.masked_mean("embedding", F.transform("embedding", lambda v: (v > 0).cast("int"))), 6), "(SELECT round(avg(v::DOUBLE), 6) FROM (SELECT unnest(embedding) AS v) WHERE v > 0)")})
 _scalar("arr02_arg_top", "embeddings", "vec_id", {"top": (lambda: F.concat_ws(",", F.transform(N.arg_top("embedding", 10), lambda s: s["index"].cast("string"))), "(SELECT string_agg(i::VARCHAR, ',' ORDER BY v DESC, i) FROM (SELECT v, i FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i) ORDER BY v DESC, i LIMIT 10))")})
-_scalar("arr03_softmax_top", "embeddings", "vec_id", {"w": (lambda: F.round(F.array_max(N.softmax("embedding")), 6), "(SELECT round(max(exp(v)) / sum(exp(v)), 6) FROM (SELECT unnest(embedding)::DOUBLE AS v))")})
+_scalar("arr03_softmax_top", "embeddings", "vec_id", {"top": (lambda: F.concat_ws(",", F.transform(N.arg_top(N.softmax("embedding"), 5), lambda s: F.concat_ws(":", s["index"].cast("string"), F.round(s["value"] * 1e6, 0).cast("bigint").cast("string")))), "(SELECT string_agg(i::VARCHAR || ':' || round(p * 1e6)::BIGINT::VARCHAR, ',' ORDER BY p DESC, i) FROM (SELECT i, exp(v) / sum(exp(v)) OVER () AS p FROM (SELECT unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i) ORDER BY p DESC, i LIMIT 5))"), "w": (lambda: F.round(F.array_max(N.softmax("embedding")), 6), "(SELECT round(max(exp(v)) / sum(exp(v)), 6) FROM (SELECT unnest(embedding)::DOUBLE AS v))")})
 _scalar("arr04_score_blend", "embeddings", "vec_id", {"s": (lambda: F.round(F.aggregate(F.zip_with("embedding", F.reverse("embedding"), lambda a, b: 0.5 * a.cast("double") + 0.5 * b.cast("double") / F.array_max(F.transform("embedding", lambda v: F.abs(v))).cast("double")), F.lit(0.0), lambda s, v: s + v), 4),
     "(SELECT round(sum(0.5 * v + 0.5 * v / m), 4) FROM (SELECT v::DOUBLE AS v, max(abs(v)) OVER ()::DOUBLE AS m FROM (SELECT unnest(embedding) AS v)))")})
 _scalar("arr05_fit_length", "embeddings", "vec_id", {"n": (lambda: F.size(N.fit_length("embedding", 80, F.lit(0.0).cast("float"))).cast("bigint"), "greatest(len(embedding), 80)"), "last": (lambda: F.element_at(N.fit_length("embedding", 16, F.lit(0.0).cast("float")), 1).cast("double"), "embedding[-16]::DOUBLE")})
-_scalar("arr06_pack_unpack", "embeddings", "vec_id", {"s": (lambda: F.round(F.aggregate(N.unpack(N.pack("embedding")), F.lit(0.0), lambda s, v: s + v), 4), "(SELECT round(sum(round(v::DOUBLE, 6)), 4) FROM (SELECT unnest(embedding) AS v))")})
+_scalar("arr06_pack_unpack", "embeddings", "vec_id", {"p": (lambda: F.concat_ws("|", F.transform(N.unpack(N.pack("embedding", 3)), lambda v: F.round(v * 1000, 0).cast("bigint").cast("string"))), "(SELECT string_agg(round(round(v::DOUBLE, 3) * 1000)::BIGINT::VARCHAR, '|' ORDER BY i) FROM (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i))"), "s": (lambda: F.round(F.aggregate(N.unpack(N.pack("embedding")), F.lit(0.0), lambda s, v: s + v), 4), "(SELECT round(sum(round(v::DOUBLE, 6)), 4) FROM (SELECT unnest(embedding) AS v))")})
 _scalar("arr07_finite", "stock", "stock_id", {"v": (lambda: N.finite("volume"), "coalesce(volume, 0)"), "a": (lambda: N.finite("turnover_rate"), "coalesce(turnover_rate, 0)")})
 _scalar("jsn01_json", "events", "event_id", {"k": (lambda: F.get_json_object("props", "$.k").try_cast("bigint"), "try_cast(json_extract_string(props, '$.k') AS BIGINT)")})
 _scalar("prj03_numeric_coercion", "news", "news_id", {"n": (lambda: F.col("date").try_cast("bigint"), r"CASE WHEN regexp_matches(date, '^\d{1,18}$') THEN date::BIGINT END")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.functions import numbers as N
 from tidemark.operators import asof as A
 from tidemark.operators import sequence as S
 from tidemark.plans import registry as R
@@ -44,7 +45,7 @@ _series("prj12_fill_zero", {"v": (lambda: F.coalesce(S.forward_fill("amount", _w
 _series("win11_lead_target", {f"t{k}": ((lambda k=k: F.round(F.try_divide(F.lead("close", k).over(_w()), F.col("close")) - 1, 9)), f"round(lead(close, {k}) {_W} / close - 1, 9)") for k in (1, 3)})
 _series("win12_delay", {"r": (lambda: F.round(F.lag("pct_change", 1, 0.0).over(_w()), 6), f"round(lag(pct_change, 1, 0.0) {_W}, 6)")})
 _series("win26_past_return", {"r": (lambda: F.round(F.try_divide(F.lag("close").over(_w()), F.lag("close", 2).over(_w())) - 1, 9), f"round(lag(close) {_W} / lag(close, 2) {_W} - 1, 9)")})
-_series("win18_turnover", {"t": (lambda: F.round(F.least(F.abs(F.col("turnover_rate") - F.lag("turnover_rate", 1, 0.0).over(_w())), F.lit(5.0)), 6), f"round(CASE WHEN turnover_rate IS NULL OR lag(turnover_rate, 1, 0.0) {_W} IS NULL THEN 5 ELSE least(abs(turnover_rate - lag(turnover_rate, 1, 0.0) {_W}), 5) END, 6)")})
+_series("win18_turnover", {"t": (lambda: F.round(N.clip(F.abs(F.col("turnover_rate") - F.lag("turnover_rate", 1, 0.0).over(_w())), 0, 5), 6), f"round(CASE WHEN turnover_rate IS NOT NULL AND lag(turnover_rate, 1, 0.0) {_W} IS NOT NULL THEN least(abs(turnover_rate - lag(turnover_rate, 1, 0.0) {_W}), 5) END, 6)")})
 _series("win15_percent_rank", {"p": (lambda: F.round(S.percent_rank("turnover_rate", ["date"]), 9), "round(CASE WHEN turnover_rate IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY turnover_rate NULLS LAST) + (count(*) OVER (PARTITION BY date, turnover_rate) - 1) / 2.0) / count(turnover_rate) OVER (PARTITION BY date) END, 9)")})
 _series("win21_segments", {"k": (lambda: F.ntile(5).over(_w()).cast("bigint"), f"ntile(5) {_W}")})
 _series("dat10_time_index", {"t": (lambda: F.round((F.row_number().over(_w()) - 1) / F.greatest(F.count("*").over(W.partitionBy("symbol")) - 1, F.lit(1)), 9), f"round((row_number() {_W} - 1) / greatest(count(*) OVER (PARTITION BY symbol) - 1, 1), 9)")})
@@ -92,11 +93,12 @@ def win19_positions(spark, d):
     return S.positions(p, SYM, "date", "want", "actual", 0.6, 0.25, 0.05).select("symbol", "date", (F.round("position", 6) + F.lit(0.0)).alias("position"))
 
 
-@register("win20_lookback", """SELECT symbol, date, round((sum(close) OVER w + first_value(close) OVER w * (10 - count(*) OVER w)) / 10, 6) AS m FROM bars
+@register("win20_lookback", """SELECT symbol, date, repeat(round(first_value(close) OVER w * 100)::BIGINT::VARCHAR || '|', (10 - count(*) OVER w)::INT) || array_to_string(list_transform(list(close) OVER w, lambda v: round(v * 100)::BIGINT::VARCHAR), '|') AS x, round((sum(close) OVER w + first_value(close) OVER w * (10 - count(*) OVER w)) / 10, 6) AS m FROM bars
     WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def win20_lookback(spark, d):
     b = R.bars(spark, d).withColumn("x", S.lookback(F.col("close"), _w(), 10))
-    return b.select("symbol", "date", F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x"), 6).alias("m"))
+    whole = F.concat_ws("|", F.transform("x", lambda v: F.round(v * 100, 0).cast("bigint").cast("string")))
+    return b.select("symbol", "date", whole.alias("x"), F.round(F.aggregate("x", F.lit(0.0), lambda s, v: s + v) / F.size("x"), 6).alias("m"))
 
 
 _SPLITS = (240, 60, 30, 30)
