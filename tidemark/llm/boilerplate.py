@@ -1,11 +1,13 @@
 """Page furniture around the main body, by shallow text blocks.
 
-A block is a non-blank line.  It is described by its words, by how far it is made
-of links (short entries between separators, known menu entries), by the wording
-of furniture, by the same of the blocks before and after it, and by its place
-among the sentences of the page.  A decision tree over these features, trained
-on a small labelled table of pages, tells main body from the rest.  Each page is
-classified on its own: one pass, no shuffle.
+A block is a non-blank line.  It is described by its words, by its link density (the
+share of short entries between separators, and of known menu entries), by the wording
+of furniture, by the same of the blocks before and after it, by how many blocks without
+a sentence stand together, and by its place among the sentences of the page.  A decision
+tree over these features, trained on a small labelled table of pages, tells main body
+from the rest.  Its first question is whether the wording of the page is known at all;
+where it is not, the rest of the tree has seen the labelled pages with all wording hidden
+and asks for structure alone.  Each page is classified on its own: one pass, no shuffle.
 """
 
 from __future__ import annotations
@@ -35,21 +37,36 @@ _CUE = re.compile(f"(?:{fixed.CUES})")
 _MARKED = re.compile(r"[-*•] |0[.)、] |.*(?:\(0 min\)| 0-0)$")
 _MENU = re.compile(r"^(?:menu|menü|navigation|导航|菜单)[:：]\s*", re.IGNORECASE)
 _END = re.compile(r"[.。!?！？…][\"”’»)）]?$")
+_HAN = re.compile("[㐀-鿿]")
 _CELL = re.compile(r"[-+−]?[\d.,]+ ?[%％]?")
 NAMES = (
     "sentence", "cue", "label", "nav", "teaser", "cells", "marked", "before", "after", "prev_sentence", "next_sentence", "prev_nav", "next_nav",
-    "colon", "items", "words", "prev_words", "next_words", "digits",
+    "colon", "items", "words", "prev_words", "next_words", "digits", "links", "prev_links", "next_links", "together", "known",
 )
+FULL = NAMES[:19]
+#: What a page of unknown wording is judged by, and bounds of that part of the tree.
+STRUCTURE = ("sentence", "cells", "links", "together", "words", "prev_sentence", "next_sentence", "before", "after", "prev_links", "next_links")
+STRUCTURE_DEPTH, STRUCTURE_LEAF = 5, 6
+#: Words of a link's text at most, and characters of one that is written without blanks.
+LINK_WORDS, LINK_CHARS = 3, 6
 
 
 def _nav_share(entries: list[str]) -> float:
     return sum(x.rstrip(" 0") in fixed.NAV for x in entries) / max(1, len(entries))
 
 
-def blocks(page: str) -> tuple[list[int], list[tuple]]:
+def _link_share(entries: list[str]) -> float:
+    """Share of the entries of a line that are short enough for the text of a link, and no figures; 0 for a line of one."""
+    if len(entries) < 2:
+        return 0.0
+    return sum(not _CELL.fullmatch(x) and len(x.split()) <= LINK_WORDS and (not _HAN.search(x) or len(x) <= LINK_CHARS) for x in entries) / len(entries)
+
+
+def blocks(page: str, wording: bool = True) -> tuple[list[int], list[tuple]]:
     """Line numbers (from 1) of the non-blank lines of ``page``, and their features in the order of ``NAMES``.
 
-    Words are counted in three classes: up to 3, up to 7, and more.
+    Words are counted in three classes: up to 3, up to 7, and more. Without ``wording``
+    nothing is known of what menus, labels and notices say.
     """
     numbers, own = [], []
     teaser = 0
@@ -58,47 +75,63 @@ def blocks(page: str) -> tuple[list[int], list[tuple]]:
             continue
         size = len(s)
         n = sum(1 for _ in islice(WORD.finditer(s), MANY))
-        cue = _CUE.match(s) is not None
-        label = size <= 60 and _LABEL.fullmatch(s) is not None
+        cue = wording and _CUE.match(s) is not None
+        label = wording and size <= 60 and _LABEL.fullmatch(s) is not None
         sentence = n >= 4 and not cue and _END.search(s, max(0, size - 3)) is not None
-        nav, n_items, cells = 0.0, 1, 0.0
+        nav, n_items, cells, links = 0.0, 1, 0.0, 0.0
         if not (sentence and n >= MANY):
             listed = _MENU.sub("", s) if ":" in s else s
             items = [x for x in (x.strip("[]+() ") for x in _SEPARATOR.split(listed)) if x]
             n_items = len(items)
-            nav = _nav_share(items) if n_items > 1 else max(_nav_share(items), _nav_share(listed.split()))
+            if wording:
+                nav = _nav_share(items) if n_items > 1 else max(_nav_share(items), _nav_share(listed.split()))
+            links = _link_share(items)
             cells = sum(_CELL.fullmatch(x) is not None for x in items[1:]) / (n_items - 1) if n_items > 2 else 0.0
         if label:
             teaser = 1
         elif sentence or cue or nav > 0.5:
             teaser = 0
         numbers.append(no)
-        own.append((sentence, cue, label, nav, teaser, cells, _MARKED.match(s) is not None, ":" in s, min(n_items, 4), 0 if n <= 3 else 1 if n <= 7 else 2, "0" in s))
+        own.append((sentence, cue, label, nav, teaser, cells, _MARKED.match(s) is not None, ":" in s, min(n_items, 4), 0 if n <= 3 else 1 if n <= 7 else 2, "0" in s, links))
     out = []
+    known = any(x[1] or x[2] or x[3] > 0.5 for x in own)
+    together = _runs([x[0] or x[5] > 0.5 for x in own])
     at = [i for i, x in enumerate(own) if x[0]]
     first, last = (at[0], at[-1]) if at else (len(own), -1)
-    edge = (-1, 0, 0, -1, 0, 0, 0, 0, 0, -1)
+    edge = (-1, 0, 0, -1, 0, 0, 0, 0, 0, -1, 0, -1)
     for i, x in enumerate(own):
         p, q = own[i - 1] if i else edge, own[i + 1] if i + 1 < len(own) else edge
-        out.append((*x[:7], i > first, i < last, p[0], q[0], p[3], q[3], x[7], x[8], x[9], p[9], q[9], x[10]))
+        out.append((*x[:7], i > first, i < last, p[0], q[0], p[3], q[3], x[7], x[8], x[9], p[9], q[9], x[10], x[11], p[11], q[11], together[i], known))
     return numbers, out
 
 
+def _runs(body: list[bool]) -> list[int]:
+    """Of every line, how many stand together without a line of ``body`` between them, up to four; 0 for a line of body."""
+    out, i = [0] * len(body), 0
+    while i < len(body):
+        j = i
+        while j < len(body) and not body[j]:
+            j += 1
+        out[i:j] = [min(j - i, 4)] * (j - i)
+        i = max(j, i + 1)
+    return out
+
+
 def matrix(rows: list[tuple]) -> np.ndarray:
     return np.array(rows, dtype=float).reshape(-1, len(NAMES))
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 0) -> tuple | float:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 0, most: int = MAX_DEPTH, leaf: int = MIN_LEAF, features: tuple[int, ...] | None = None) -> tuple | float:
     """A tree of Gini splits: the share of main body in a leaf, or (feature, threshold, below, above)."""
     p = y.mean()
-    if p in (0.0, 1.0) or depth == MAX_DEPTH or len(y) < 2 * MIN_LEAF:
+    if p in (0.0, 1.0) or depth == most or len(y) < 2 * leaf:
         return float(p)
     best = None
-    for k in range(x.shape[1]):
+    for k in range(x.shape[1]) if features is None else features:
         order = np.argsort(x[:, k], kind="stable")
         v, t = x[order, k], np.cumsum(y[order])
         cut_at = np.flatnonzero(v[1:] > v[:-1]) + 1
-        cut_at = cut_at[(cut_at >= MIN_LEAF) & (cut_at <= len(y) - MIN_LEAF)]
+        cut_at = cut_at[(cut_at >= leaf) & (cut_at <= len(y) - leaf)]
         if not len(cut_at):
             continue
         a, n = t[cut_at - 1], len(y)
@@ -110,7 +143,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 0) -> tuple | float:
     if best is None:
         return float(p)
     low = x[:, best[1]] <= best[2]
-    return best[1], best[2], grow(x[low], y[low], depth + 1), grow(x[~low], y[~low], depth + 1)
+    return best[1], best[2], grow(x[low], y[low], depth + 1, most, leaf, features), grow(x[~low], y[~low], depth + 1, most, leaf, features)
 
 
 def score(tree: tuple | float, x: np.ndarray) -> np.ndarray:
@@ -126,15 +159,19 @@ def score(tree: tuple | float, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def learn(pages: list[list[str]]) -> tuple | float:
+    """The tree of labelled pages, lines marked "+ " or "- "."""
+    y = np.concatenate([[x[0] == "+" for x in lines] for lines in pages]).astype(float)
+    rows = {w: matrix([f for lines in pages for f in blocks("\n".join(x[2:] for x in lines), w)[1]]) for w in (True, False)}
+    at = tuple(map(NAMES.index, STRUCTURE))
+    told = (rows[False][:, NAMES.index("sentence")] == 0) | (y == 1)  # a notice that is a sentence is told by its wording alone
+    return NAMES.index("known"), 0.5, grow(rows[False][told], y[told], 0, STRUCTURE_DEPTH, STRUCTURE_LEAF, at), grow(rows[True], y, features=tuple(map(NAMES.index, FULL)))
+
+
 @lru_cache(maxsize=1)
 def trained() -> tuple | float:
-    """The tree of the labelled pages."""
-    xs, ys = [], []
-    for page in fixed.PAGES.strip().split("\n\n"):
-        lines = page.split("\n")
-        xs += blocks("\n".join(x[2:] for x in lines))[1]
-        ys.append([x[0] == "+" for x in lines])
-    return grow(matrix(xs), np.concatenate(ys).astype(float))
+    """The tree of the labelled pages of this package."""
+    return learn([page.split("\n") for page in fixed.PAGES.strip().split("\n\n")])
 
 
 def furniture(pages: DataFrame, row_id: str, text: str) -> DataFrame:
