@@ -79,6 +79,33 @@ def similar_pairs(df: DataFrame, row_id: str, shingles: str, day: str, window_da
     return cand.join(x, "a").join(y, "b_").withColumn("similarity", sim).where(F.col("similarity") >= threshold).select("a", F.col("b_").alias("b"), "similarity")
 
 
+def greedy_similar(df: DataFrame, row_id: str, shingles: str, day: str, rank: list[tuple[str, bool]], window_days: int, threshold: float) -> DataFrame:
+    """Ids of the rows kept when, best rank first, a row is dropped if one that is kept is similar to it and within the window.
+
+    ``rank`` lists (column, descending); ties fall to the smaller id. Rows of fewer than
+    eight shingles or without a day all stay. The pairs are settled in rounds: a row that
+    has no better one left to wait for is kept, and those like it are dropped; each round
+    settles the heads of all chains at once, so there are as many as the longest chain of
+    ever worse similar rows has links, and each is cut.
+    """
+    kinds = dict(df.dtypes)
+    key = F.struct(*((-F.unix_date(x) if kinds[x] == "date" else -F.col(x) if desc else F.col(x)).alias(f"k{i}") for i, (x, desc) in enumerate(rank)), F.col(row_id).alias("id"))
+    of = df.select(F.col(row_id).alias("_i"), key.alias("_k"))
+    pairs = similar_pairs(df, row_id, shingles, day, window_days, threshold).select("a", "b")
+    pairs = pairs.join(of.withColumnsRenamed({"_i": "a", "_k": "ka"}), "a").join(of.withColumnsRenamed({"_i": "b", "_k": "kb"}), "b")
+    first = F.col("ka") < F.col("kb")
+    edges = cut(pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse")))
+    gone = None
+    while not edges.isEmpty():
+        heads = edges.select("better").distinct().join(edges.select(F.col("worse").alias("better")), "better", "left_anti")
+        now = cut(edges.join(heads, "better", "left_semi").select("worse").distinct())
+        gone = now if gone is None else gone.unionByName(now)
+        left = edges.join(now, "worse", "left_anti").join(now.withColumnRenamed("worse", "better"), "better", "left_anti")
+        edges = cut(left.select("better", "worse"))
+    kept = df.select(row_id)
+    return kept if gone is None else kept.join(gone.withColumnRenamed("worse", row_id), row_id, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, class): the smallest id reachable over ``edges`` (a, b), for every id that has one.
 
