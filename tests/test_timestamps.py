@@ -71,3 +71,31 @@ def test_viterbi_is_the_cheapest_path():
         best = min(cost(p) for p in itertools.product(*(range(len(a)) for a in at)))
         got = T.viterbi(at, od, ra, 1)
         assert min(cost(p) for p in itertools.product(*(range(len(a)) for a in at)) if all(at[i][k] == got[i] for i, k in enumerate(p))) == pytest.approx(best)
+
+
+def test_path_does_not_depend_on_blocks(spark):
+    """Records without a stated order, most of them ambiguous: blocks of any size give the path of one block, with ids in a row and ids far apart."""
+    import random
+
+    r = random.Random(6)
+    day, rows = dt.date(2021, 1, 1), []
+    for i in range(160):
+        day += dt.timedelta(days=r.choice([0, 1, 1, 2, 5]))
+        v = f"{day.day:02d}/{day.month:02d}/{day.year}" if i % 80 < 50 else f"{day.month:02d}/{day.day:02d}/{day.year}"
+        if day.day > 12 and r.random() < 0.8:  # keep runs of ambiguous days long
+            day = day.replace(day=r.randint(1, 12))
+            v = f"{day.day:02d}/{day.month:02d}/{day.year}"
+        rows.append((i, v))
+    sources = spark.createDataFrame([("s", "UTC", None)], "source string, tz string, date_order string")
+
+    def run(ids, block):
+        df = spark.createDataFrame([(ids(i), v, "s") for i, v in rows] + [(ids(i), v, None) for i, v in rows[:30]], "id long, date string, source string")
+        got = T.normalise(df, sources, ["id", "source"], "id", "date", block=block).collect()
+        return {(x["id"], x["source"]): x["utc_us"] for x in got}
+
+    whole = run(lambda i: i, 10**9)
+    assert len(whole) == 190
+    for block in (1, 3, 16):
+        assert run(lambda i: i, block) == whole
+    far = run(lambda i: i * 10**12 + i % 7, 16)
+    assert {(k[0] // 10**12, k[1]): v for k, v in far.items()} == whole

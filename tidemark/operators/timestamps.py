@@ -4,8 +4,11 @@ Every value yields an array of all its valid interpretations.  Per source the
 records are then decoded in delivery order by Viterbi: an interpretation costs
 when it contradicts the order the source states for day and month, when the
 field order switches against the record before, and when time jumps backward.
-Records are decoded in blocks of ``BLOCK`` consecutive ids, so no task holds all
-records of one source; a path starts anew with each block.
+Records are decoded in blocks of about ``BLOCK``, so no task holds all records of one
+source, and the path is carried from block to block: each block first says what the
+cheapest path from every reading of its first record to every reading of its last one
+costs, a few numbers; chained per source these give the readings at all borders, and the
+blocks are then decoded between fixed ends. The result is that of one path per source.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Consecutive ids decoded together.
+from tidemark.lineage import cut
+
+#: Records decoded together, where ids are spread evenly.
 BLOCK = 65_536
-#: Costs of a path. Contradicting the stated order outweighs everything else in a block.
+#: Costs of a path. Contradicting the stated order outweighs everything else in a run.
 AGAINST_ORDER, SWITCH, BACKWARD, UNLIKELY = 1e7, 1.0, 0.5, 50.0
 EPOCH = date(1970, 1, 1).toordinal()
 DAY = 86_400_000_000
@@ -192,6 +197,74 @@ def viterbi(instants: list[np.ndarray], orders: list[np.ndarray], rare: list[np.
     return pick
 
 
+def _own(orders: np.ndarray, rare: np.ndarray, stated: int) -> list[float]:
+    return [(AGAINST_ORDER if x >= 0 and stated >= 0 and x != stated else 0.0) + (UNLIKELY if r else 0.0) for x, r in zip(orders, rare, strict=True)]
+
+
+def _step(cost: list[float], t0: np.ndarray, o0: np.ndarray, t1: np.ndarray, o1: np.ndarray) -> list[tuple[float, int]]:
+    """Per reading of a record, the cheapest way into it from those of the record before, and from which; ties fall to the earlier."""
+    out = []
+    for k in range(len(t1)):
+        best, at = float("inf"), 0
+        for j, c in enumerate(cost):
+            x = c + (SWITCH if o1[k] >= 0 and o0[j] >= 0 and o1[k] != o0[j] else 0.0) + (BACKWARD if t1[k] < t0[j] else 0.0)
+            if x < best:
+                best, at = x, j
+        out.append((best, at))
+    return out
+
+
+def border_costs(instants: list, orders: list, rare: list, stated: int) -> list[list[float]]:
+    """Cost of the cheapest path from each reading of the first record to each of the last, own costs included.
+
+    A record with one reading cuts a path in two, so only the runs at both ends are followed where there is one.
+    """
+    n = len(instants)
+    alone = [i for i in range(n) if len(instants[i]) == 1]
+
+    def run(a: int, b: int) -> list[list[float]]:
+        rows = []
+        for f in range(len(instants[a])):
+            own = _own(orders[a], rare[a], stated)
+            cost = [c if k == f else float("inf") for k, c in enumerate(own)]
+            for i in range(a + 1, b + 1):
+                into = _step(cost, instants[i - 1], orders[i - 1], instants[i], orders[i])
+                cost = [x + c for (x, _), c in zip(into, _own(orders[i], rare[i], stated), strict=True)]
+            rows.append(cost)
+        return rows
+
+    if not alone:
+        return run(0, n - 1)
+    first, last = run(0, alone[0]), run(alone[-1], n - 1)
+    return [[x[0] + y for y in last[0]] for x in first]
+
+
+def border_path(blocks: list[tuple]) -> list[tuple[int, int]]:
+    """The readings (of the first and of the last record) of every block of a source, in order, on the cheapest path.
+
+    A block is (instants and orders of its first record, of its last, costs between them).
+    """
+    cost: list[float] = []
+    back: list[list[tuple[int, int]]] = []  # per reading of the last record: reading of the first, and of the last of the block before
+    before = None
+    for t0, o0, t1, o1, m in blocks:
+        into = [(0.0, 0)] * len(t0) if before is None else _step(cost, *before, t0, o0)
+        new, ways = [], []
+        for k in range(len(t1)):
+            c, f = min((into[f][0] + m[f][k], f) for f in range(len(t0)))
+            new.append(c)
+            ways.append((f, into[f][1]))
+        cost, before = new, (t1, o1)
+        back.append(ways)
+    out = []
+    k = int(np.argmin(cost)) if cost else 0
+    for ways in reversed(back):
+        f, prev = ways[k]
+        out.append((f, k))
+        k = prev
+    return out[::-1]
+
+
 def normalise(records: DataFrame, sources: DataFrame, keys: list[str], order_by: str, value: str, source: str = "source", block: int = BLOCK) -> DataFrame:
     """(``keys``..., utc_us) for every record whose ``value`` names an instant.
 
@@ -215,24 +288,56 @@ def normalise(records: DataFrame, sources: DataFrame, keys: list[str], order_by:
 
     kinds = dict(records.dtypes)
     base = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    read_rows = rows.mapInPandas(read, f"{base}, _src string, _stated int, at array<bigint>, ord array<int>, rare array<int>")
+    read_rows = cut(rows.mapInPandas(read, f"{base}, _src string, _stated int, at array<bigint>, ord array<int>, rare array<int>"))
     others = [k for k in keys if k != order_by]
-    read_rows = read_rows.withColumn("_block", F.floor(F.col(order_by) / block))
+    span = read_rows.groupBy(*others, "_src").agg(F.min(order_by).alias("_lo"), F.max(order_by).alias("_hi"), F.count("*").alias("_n"))
+    width = F.greatest(F.ceil((F.col("_hi").cast("double") - F.col("_lo") + 1) * block / F.col("_n")), F.lit(1)).cast("double")
+    span = span.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(others)), F.col("_src").alias("_s"), "_lo", width.alias("_w"))
+    same = F.col("_src").eqNullSafe(F.col("_s"))
+    for i, k in enumerate(others):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    read_rows = read_rows.join(span, same).withColumn("_block", F.floor((F.col(order_by).cast("double") - F.col("_lo")) / F.col("_w"))).select(*keys, "_src", "_stated", "at", "ord", "rare", "_block")
+    by = [*others, "_src", "_block"]
+    by_schema = ", ".join(f"`{k}` {kinds[k]}" for k in others) + (", " if others else "") + "_src string, _block bigint"
+
+    def ends(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(order_by, kind="stable")
+        at, od, ra = p["at"].tolist(), p["ord"].tolist(), p["rare"].tolist()
+        m = border_costs(at, od, ra, int(p["_stated"].iloc[0]))
+        out = p[by].iloc[:1].copy()
+        for name, v in (("t0", at[0]), ("o0", od[0]), ("t1", at[-1]), ("o1", od[-1]), ("m", [x for r in m for x in r])):
+            out[name] = [list(v)]
+        return out
+
+    def chain(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_block", kind="stable")
+        blocks = [(t0, o0, t1, o1, np.asarray(m).reshape(len(t0), len(t1))) for t0, o0, t1, o1, m in zip(p["t0"], p["o0"], p["t1"], p["o1"], p["m"], strict=True)]
+        out = p[by].copy()
+        out["first"], out["last"] = zip(*border_path(blocks), strict=True)
+        return out
 
     def decode(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(order_by, kind="stable")
         out = p[keys].copy()
-        many = p["at"].map(len).to_numpy() > 1
-        utc = np.fromiter((a[0] for a in p["at"]), dtype=np.int64, count=len(p))
+        at, od, ra = p["at"].tolist(), p["ord"].tolist(), p["rare"].tolist()
+        for place, k in ((0, p["first"].iloc[0]), (-1, p["last"].iloc[0])):  # the ends are settled; a block of one record has one end
+            if len(at[place]) > 1:
+                at[place], od[place], ra[place] = [at[place][k]], [od[place][k]], [ra[place][k]]
+        many = np.array([len(x) for x in at]) > 1
+        utc = np.fromiter((a[0] for a in at), dtype=np.int64, count=len(p))
         if many.any():  # a path forks only between records with one reading; those runs are decoded with one record on either side
             near = many | np.roll(many, 1) & (np.arange(len(p)) > 0) | np.roll(many, -1) & (np.arange(len(p)) < len(p) - 1)
             i = np.flatnonzero(near)
-            at, od, ra = p["at"].to_numpy(), p["ord"].to_numpy(), p["rare"].to_numpy()
             for run in np.split(i, np.flatnonzero(np.diff(i) > 1) + 1):
                 utc[run] = viterbi([at[x] for x in run], [od[x] for x in run], [ra[x] for x in run], int(p["_stated"].iloc[0]))
         out["utc_us"] = utc
         return out
 
-    return read_rows.groupBy(*others, "_src", "_block").applyInPandas(decode, f"{base}, utc_us bigint")
-
-
+    found = read_rows.groupBy(*by).applyInPandas(ends, by_schema + ", t0 array<bigint>, o0 array<int>, t1 array<bigint>, o1 array<int>, m array<double>")
+    chosen = found.groupBy(*others, "_src").applyInPandas(chain, by_schema + ", first int, last int")
+    chosen = chosen.withColumnsRenamed({k: f"_c{i}" for i, k in enumerate(by)})
+    met = read_rows["_block"] == chosen[f"_c{len(by) - 1}"]
+    for i, k in enumerate(by[:-1]):
+        met = met & read_rows[k].eqNullSafe(chosen[f"_c{i}"])
+    settled = read_rows.join(chosen, met).select(*keys, "_src", "_stated", "at", "ord", "rare", "_block", "first", "last")
+    return settled.groupBy(*by).applyInPandas(decode, f"{base}, utc_us bigint")
