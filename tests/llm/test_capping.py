@@ -36,3 +36,20 @@ def test_sample_keeps_the_largest_keys_and_prefers_quality(spark):
 def test_contributor_names(spark):
     df = spark.createDataFrame([(" 　Foo BAR\xa0", "s"), ("", "s"), (None, "s"), ("\t", None), ("s", "x")], "p string, s string")
     assert [r[0] for r in df.select(C.contributor("p", "s")).collect()] == ["p:foo bar", "s:s", "s:s", "s:", "p:s"]
+
+
+def test_inclusion_follows_the_scores(spark):
+    """Kept shares over many contributors against the exact probabilities of drawing without replacement by weight."""
+    weights, cap, n = [1.0, 2.0, 3.0, 4.0, 8.0], 2, 20_000
+    exact = [0.0] * len(weights)
+    total = sum(weights)
+    for i, a in enumerate(weights):  # the first drawn, then the second of the rest
+        exact[i] += a / total
+        for j, b in enumerate(weights):
+            if i != j:
+                exact[j] += a / total * b / (total - a)
+    rows = spark.range(n * len(weights)).select("id", (F.col("id") % n).cast("string").alias("who"), F.get(F.array(*map(F.lit, weights)), (F.col("id") / n).cast("int")).alias("q"))
+    dropped = C.over_cap(rows, "id", "who", "q", cap=cap, randomness=1.0, seed=5)
+    kept = {x["q"]: x["n"] for x in rows.join(dropped, "id", "left_anti").groupBy("q").agg(F.count("*").alias("n")).collect()}
+    assert sum(kept.values()) == cap * n
+    assert all(abs(kept[w] / n - p) < 0.015 for w, p in zip(weights, exact, strict=True))
